@@ -13,14 +13,39 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
+from .sentencepiece_fst import encode
+from .token_counts import token_counts
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the installed public_tokenizers package keeps a file; executors have the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_token_counts": op9_token_counts,
 }
 
 OP4_SQL = r"""
@@ -40,4 +65,30 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.c) AS component_id
 FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, sh
 """
 
-ORACLE: dict[str, str] = {"op4_near_duplicates": OP4_SQL}
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM x, (VALUES (0), (1), (2)) v(o) WHERE k > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (
+  SELECT w.doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE base_failed) AS bad FROM f GROUP BY host),
+p AS (SELECT avg(bad / n) AS m, coalesce(var_pop(bad / n), 0) AS v FROM h),
+q AS (SELECT m, least(1000, greatest(1, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END)) AS s FROM p),
+o AS (SELECT host, (bad + s * m) / (n + s) <= 0.6 AS ok FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
+FROM f JOIN o USING (host)
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_near_duplicates": OP4_SQL,
+    "op6_quality_rules": OP6_SQL,
+}
