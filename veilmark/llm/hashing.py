@@ -107,15 +107,15 @@ def windows(values: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
     """Polynomial hash of each k values in a row, by doubling; n - k + 1 of them, unmixed."""
     if len(values) < k:
         return np.zeros(0, np.uint64)
-    out, done, step, size, weight = None, 0, values, 1, base
+    out, done, step, size, weight = None, 0, values, 1, int(base)
     while True:
         if k & size:
             if out is None:
                 out, done = step, size
             else:  # what is done so far, followed by the next size values
                 n = len(values) - done - size + 1
-                out, done = out[:n] * weight + step[done : done + n], done + size
+                out, done = out[:n] * U(weight) + step[done : done + n], done + size
         if size * 2 > k:
             return out[: len(values) - k + 1]
         n = len(values) - 2 * size + 1
-        step, size, weight = step[:n] * weight + step[size : size + n], size * 2, weight * weight
+        step, size, weight = step[:n] * U(weight) + step[size : size + n], size * 2, weight * weight % 2**64
