@@ -8,14 +8,16 @@ How it stays linear where groups are hot:
 
 * Documents with equal shingle sets are one class, and only its representative goes on.
 * A pair of similarity t shares about t*k retained values, so it must share one of the rarer ones:
-  each class is listed under its |sketch| - ceil(|sketch| / 2) + 1 rarest values only. (At k = 64 a
-  pair at 0.85 shares fewer than half with probability below 1e-9.) A passage that a third of the
-  corpus quotes drops out by its own frequency unless it fills half a document.
+  each class is listed under its |sketch| - c + 1 rarest values only, c being half a full sketch (at
+  k = 64 a pair at 0.85 shares fewer with probability below 1e-9) or 0.85 of a set that fits into its
+  sketch whole. A passage that a third of the corpus quotes drops out by its own frequency unless it
+  fills half a document.
 * In each list, all members are first compared with the list's most central member (the class whose
   values are the most frequent, mostly the original of the copies). What is linked becomes one
   component, found by alternating large and small stars.
-* Only members of different components are then compared, in blocks of bounded size dealt by
-  (value, block, block), so no link between components is lost and no list meets in one task.
+* Lists that still hold several components are joined into groups, and only members of different
+  components are compared, on full sets, in blocks of bounded size dealt by (group, block, block): no
+  link between components is lost, no pair is emitted unless it is one, and no list meets in one task.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from . import hashing as H
 from .common import cut, ids_and_texts, ship
 from .components import components
 
-WORDS, K, BLOCK = 5, 64, 256
+WORDS, K, BLOCK = 5, 64, 512
 _STEPS = tuple(H.U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -102,61 +104,52 @@ def _verifier(percent: int):
 
 
 def _in_blocks(percent: int):
-    """Pairs of different components within each (value, block, block) that share half of either sketch."""
+    """Links between different components within each (group, block, block), exact on full sets."""
+    names = ["g", "bi", "bj", "rep", "n", "comp", "block"]
 
-    def pairs_of(ids, n, comp, block, sk):
-        m = len(ids)
+    def links_of(ids, n, comp, block, sets):
+        """Shared shingles of one row with all others are counted over the postings of the group's shingles."""
         first, last = block.min(), block.max()
-        need = (np.array([len(s) for s in sk]) + 1) // 2
-        left = np.flatnonzero(block == first)
-        right = np.flatnonzero(block == last)
-        every = np.concatenate(sk)
-        owner = np.repeat(np.arange(m), [len(s) for s in sk])
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == last)
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(ids)), [len(s) for s in sets])
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         for i in left.tolist():
             js = right[right > i] if first == last else right
             js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
             if len(js):
-                at, to = np.searchsorted(every, sk[i]), np.searchsorted(every, sk[i], side="right")
-                size = to - at
+                at = np.searchsorted(every, sets[i])
+                size = np.searchsorted(every, sets[i], side="right") - at
                 where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at, size)
-                shared = np.bincount(owner[where], minlength=m)
-                js = js[shared[js] >= np.maximum(need[js], need[i])]
-                for j in js.tolist():
+                both = np.bincount(owner[where], minlength=len(ids))[js]
+                for j in js[100 * both >= percent * (n[i] + n[js] - both)].tolist():
                     yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(batches):
         held = None
-        names = ["v", "bi", "bj", "rep", "n", "comp", "block"]
 
-        def flush(rows, sk, final):
-            """Whole groups of the rows, and the rows of the last group if more may follow."""
+        def solve(rows, sets, final):
+            """Links of the whole groups among the rows, and the rows of the last group if more may follow."""
             key = np.stack([rows[x] for x in names[:3]], axis=1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            bounds = [0, *cuts.tolist(), len(key)]
+            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             out = []
             for a, z in zip(bounds[:-1], bounds[1:] if final else bounds[1:-1]):
                 if z - a > 1:
-                    out += pairs_of(rows["rep"][a:z], rows["n"][a:z], rows["comp"][a:z], rows["block"][a:z], sk[a:z])
-            rest = None if final else ({x: rows[x][bounds[-2] :] for x in names}, sk[bounds[-2] :])
-            out = sorted(set(out))
+                    out += links_of(rows["rep"][a:z], rows["n"][a:z], rows["comp"][a:z], rows["block"][a:z], sets[a:z])
+            rest = None if final else ({x: rows[x][bounds[-2] :] for x in names}, sets[bounds[-2] :])
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"]), rest
 
         for b in batches:
             if not b.num_rows:
                 continue
             rows = {x: b.column(x).to_numpy(zero_copy_only=False) for x in names}
-            lists = b.column("sketch")
-            flat, at = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()
-            sk = np.split(flat, at[:-1]) if len(at) else []
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in b.column("set")]
             if held:
-                rows = {x: np.concatenate([held[0][x], rows[x]]) for x in names}
-                sk = [*held[1], *sk]
-            out, held = flush(rows, sk, False)
+                rows, sets = {x: np.concatenate([held[0][x], rows[x]]) for x in names}, [*held[1], *sets]
+            out, held = solve(rows, sets, False)
             yield out
         if held:
-            yield flush(*held, True)[0]
+            yield solve(*held, True)[0]
 
     return run
 
@@ -179,9 +172,11 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
 
     values = reps.select("rep", F.col("n"), F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a sketch below K is the whole set: what a link shares with it is then known exactly
+    least = F.when(F.col("n") < K, F.ceil(percent * F.col("n") / 100)).otherwise(K // 2)
     mine = values.join(shared, "v").groupBy("rep", "n", "k").agg(F.sum("df").alias("central"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # values that no other class has are the rarest: they come first in the prefix of k - ceil(k/2) + 1
-    prefix = mine.select("rep", "n", "central", F.explode(F.slice("vs", 1, F.greatest(F.lit(0), F.size("vs") - F.floor((F.col("k") + 1) / 2).cast("int") + 1))).alias("x"))
+    prefix = mine.select("rep", "n", "central", F.explode(F.slice("vs", 1, F.greatest(F.lit(0), F.size("vs") - least.cast("int") + 1))).alias("x"))
     lists = cut(prefix.select("rep", "n", "central", F.col("x.v").alias("v"), F.col("x.df").alias("df")))
 
     hubs = lists.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("neg"), "n")).alias("h")).select("v", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("hub_n"))
@@ -190,12 +185,16 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     found = components(links)
 
     placed = lists.join(found, lists.rep == found.id, "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    blocked = placed.join(mixed, "v").withColumn("block", F.expr("CAST(pmod(xxhash64(rep), nb) AS INT)"))
-    dealt = blocked.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("v", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "n", "comp", "block")
-    second = dealt.join(reps.select("rep", "sketch"), "rep").repartition("v", "bi", "bj").sortWithinPartitions("v", "bi", "bj")
-    second = second.mapInArrow(_in_blocks(percent), "a long, b long").distinct()
-    more = cut(_verified(docs, reps, second, percent))
+    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("head")).where("lo < hi").select("v", "head")
+    open_ = cut(placed.join(mixed, "v").select("rep", "n", "comp", "head").distinct())
+    groups = components(open_.select(F.col("head").alias("a"), F.col("rep").alias("b")))
+    members = open_.select("rep", "n", "comp").distinct().join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep")
+    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    members = cut(members.join(sizes, "g").withColumn("block", F.expr("CAST(pmod(xxhash64(rep), nb) AS INT)")))
+    sets = _full_sets(docs, reps, members.select(F.col("rep").alias("id")))
+    dealt = members.join(sets, members.rep == sets.id).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    dealt = dealt.select("g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "n", "comp", "block", "set")
+    more = cut(dealt.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(_in_blocks(percent), "a long, b long").distinct())
     members = live.join(classes, ["fp1", "fp2"]).select("doc_id", "rep")
     # a doc_id on several rows joins their classes
     ties = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
@@ -216,9 +215,12 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     likely = pairs.join(x, "a").join(y, "b").where(2 * F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))) >= F.size(union)).select("a", "b")
     likely = cut(likely)
-    need = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    # of rows that repeat a doc_id, the one whose set stands for the class is found by its fingerprint
-    own = reps.join(need, reps.rep == need.doc_id, "left_semi").select(F.col("rep").alias("id"), "fp1", "fp2")
-    sets = docs.join(need, "doc_id", "left_semi").mapInArrow(_sets, "id long, fp1 long, fp2 long, set binary").join(own, ["id", "fp1", "fp2"]).dropDuplicates(["id"])
+    sets = cut(_full_sets(docs, reps, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()))
     sa, sb = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     return likely.join(sa, "a").join(sb, "b").mapInArrow(_verifier(percent), "a long, b long")
+
+
+def _full_sets(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
+    """(id, set) of the representatives in need. Of rows that repeat a doc_id, the fingerprint finds the one that stands for the class."""
+    own = reps.join(need, reps.rep == need.id, "left_semi").select(F.col("rep").alias("id"), "fp1", "fp2")
+    return docs.join(need, docs.doc_id == need.id, "left_semi").mapInArrow(_sets, "id long, fp1 long, fp2 long, set binary").join(own, ["id", "fp1", "fp2"]).select("id", "set").dropDuplicates(["id"])
