@@ -23,24 +23,23 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more in the same list, the first time included.
+def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
+    """Adds how many of the words lie in a 3-word window found twice or more in the same list, the first included.
 
-    Windows are sorted with their positions, so equal ones are neighbours; what the marked windows
-    cover is summed in order of position. Lists whose windows all differ stop before the sort.
+    Windows are sorted with their positions, so equal ones are neighbours; each marked window covers 3 words
+    less what the marked window before it covers. Lists whose windows all differ stop before the sort. Every
+    step is a column of its own, since a lambda that looks at neighbours must not compute the list again.
     """
-    n = F.size(words)
-    rest = F.slice(words, 2, F.greatest(n - 2, F.lit(0)))
-    third = F.slice(words, 3, F.greatest(n - 2, F.lit(0)))
-    hashes = F.zip_with(F.zip_with(F.slice(words, 1, F.greatest(n - 2, F.lit(0))), rest, lambda a, b: F.xxhash64(a, b)), third, lambda h, c: F.xxhash64(h, c))
-    keyed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    nothing = F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("i"))
-    before = F.concat(F.array(nothing), F.slice(keyed, 1, F.size(keyed) - 1))
-    after = F.concat(F.slice(keyed, 2, F.size(keyed) - 1), F.array(nothing))
-    marked = F.zip_with(F.zip_with(before, keyed, lambda a, b: F.struct(b.i.alias("i"), b.h.alias("h"), a.h.eqNullSafe(b.h).alias("same"))), after, lambda b, c: F.struct(b.i.alias("i"), (b.same | b.h.eqNullSafe(c.h)).alias("twice")))
-    at = F.array_sort(F.transform(F.filter(marked, lambda x: x.twice), lambda x: x.i))
-    covered = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("p")), lambda s, i: F.struct((s.n + F.least(F.lit(3), i - s.p)).alias("n"), i.alias("p")), lambda s: s.n)
-    return F.when((n < 4) | (F.size(F.array_distinct(hashes)) == n - 2), 0).otherwise(covered).cast("long")
+    ws, h, keyed, at = (F.col(c) for c in (words, "_h", "_keyed", "_at"))
+    windows = F.slice(F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2))), 1, F.greatest(F.size(ws) - 2, F.lit(0)))
+    pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    df = df.withColumn("_h", windows)
+    df = df.withColumn("_keyed", F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(pairs)))
+    twice = F.filter(keyed, lambda x, i: x.h.eqNullSafe(F.get(keyed, i - 1).h) | x.h.eqNullSafe(F.get(keyed, i + 1).h))
+    df = df.withColumn("_at", F.array_sort(F.transform(twice, lambda x: x.i)))
+    shared = F.transform(at, lambda p, j: F.greatest(F.lit(0), 3 - (p - F.coalesce(F.get(at, j - 1), F.lit(-3)))))
+    covered = 3 * F.size(at) - F.aggregate(shared, F.lit(0), lambda a, x: a + x)
+    return df.withColumn(out, F.when(at.isNull(), 0).otherwise(covered).cast("long")).drop("_h", "_keyed", "_at")
 
 
 def rule_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -53,14 +52,14 @@ def rule_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -
     for c in SYMBOLS:
         plain = F.replace(plain, F.lit(c))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = df.select(*keep, t.alias("_t"), word_list(t).alias("_w"), lines.alias("_l"), F.length(bare).cast("long").alias("word_chars"), (F.octet_length(t) - F.octet_length(plain)).cast("long").alias("n_symbols"))
-    return first.select(
+    first = df.select(*keep, word_list(t).alias("_w"), lines.alias("_l"), F.length(bare).cast("long").alias("word_chars"), (F.octet_length(t) - F.octet_length(plain)).cast("long").alias("n_symbols"))
+    return with_repeated_words(first, "_w", "n_repeat_words").select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_w")).alias("n_repeat_words"),
+        "n_repeat_words",
     )
 
 
