@@ -91,3 +91,17 @@ def quality_rules(df: DataFrame, host: str = "source", max_rate: float = MAX_HOS
     verdicts = host_verdicts(counts.select(F.coalesce("host", F.lit("\0")).alias("host"), F.col("base_failed").alias("failed")), max_rate)
     out = counts.withColumn("host", F.coalesce("host", F.lit("\0"))).join(verdicts.select("host", F.col("rate").alias("host_rate"), "host_ok"), "host", "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
+
+
+def keep_good(df: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of df, all columns as they are, that pass the base rules and whose host passes.
+
+    Counts are written beside the rows, so texts are read once and never shuffled while the hosts' verdicts
+    fit a broadcast; Spark checks that by the size of their table.
+    """
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("text").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"))
+    counts = rule_counts(rows, keep=("row", "host"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    flagged = cut(counts.select("row", "host", failed.alias("failed")))
+    good = cut(host_verdicts(flagged.select("host", "failed"), max_rate).where("host_ok").select("host"))
+    return flagged.where("NOT failed").join(good, "host", "left_semi").select("row.*")

@@ -15,7 +15,10 @@ from .ann import nearest
 from .common import table
 from .exact_substring import exact_substring_dedup
 from .line_dedup import line_dedup
+from .mixing import mix
 from .near_dedup import near_duplicates
+from .pii import personal_data
+from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .sentencepiece_fst import encode
 from .token_counts import token_counts
@@ -28,6 +31,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -36,6 +47,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -58,8 +73,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
+    "op2_quality_scores": op2_quality_scores,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_substring": op7_exact_substring,
     "op8_nearest": op8_nearest,
@@ -107,7 +125,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN o USING (host)
 """
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+b AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, n)) AS j FROM d)),
+c AS (
+  SELECT b.doc_id, j, x, max(i) OVER (PARTITION BY b.doc_id ORDER BY j ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.i = b.j),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM c),
+g AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+    coalesce(string_agg(x, '' ORDER BY j) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op4_near_duplicates": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op7_exact_substring": OP7_SQL,
 }
