@@ -1,0 +1,106 @@
+"""Spans that an external reporter names (persons, companies), grounded in the text before they count.
+
+The reporter is a plug-in, a function from masked text to reports; none is bundled and nothing here uses a
+network. A table of reports serves as well.
+"""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.masking import redact
+from ..functions.model import SPANS
+from ..functions.spans import grounded
+
+REPORTED = ("PERSON_NAME", "COMPANY_NAME")
+ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 10, 1.0, 60.0
+REPORT = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("entity_type", T.StringType())]))
+REPLY = T.StructType([T.StructField("reports", REPORT), T.StructField("calls", T.LongType()), T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType()), T.StructField("warning", T.StringType())])
+
+
+class Transient(Exception):
+    """A reporter raises this for rate limits, server errors and lost connections: the call is tried again."""
+
+
+@dataclass
+class Reply:
+    reports: list[tuple[str, str]]
+    input_tokens: int = 0
+    output_tokens: int = 0
+    truncated: bool = False
+
+
+def with_retry(call: Callable[[], Reply], sleep: Callable[[float], None] = time.sleep, attempts: int = ATTEMPTS) -> Reply:
+    """Up to attempts calls, waiting 1 s, doubled each time up to 60 s; the last failure is raised."""
+    wait = FIRST_WAIT
+    for k in range(attempts):
+        try:
+            return call()
+        except Transient:
+            if k == attempts - 1:
+                raise
+            sleep(wait)
+            wait = min(2 * wait, LONGEST_WAIT)
+    raise ValueError("attempts must be at least 1")
+
+
+def reporter_column(reporter: Callable[[str], Reply], sleep: Callable[[float], None] = time.sleep):
+    """A pandas UDF masked text -> reply. Once retries run out, a task asks no more; blank text is never sent.
+
+    Usage comes back in columns, to be summed; a task that Spark runs again counts once, as its rows do.
+    """
+
+    @F.pandas_udf(REPLY)
+    def ask(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        open_ = True
+        for texts in parts:
+            rows = []
+            for t in texts:
+                if not open_ or t is None or not t.strip():
+                    rows.append(([], 0, 0, 0, None if open_ else "reporter given up"))
+                    continue
+                try:
+                    r = with_retry(lambda t=t: reporter(t), sleep)
+                    rows.append(([{"text": a, "entity_type": b} for a, b in r.reports], 1, r.input_tokens, r.output_tokens, "reply was cut off" if r.truncated else None))
+                except Transient as e:
+                    open_ = False
+                    rows.append(([], 0, 0, 0, f"reporter given up: {e}"))
+                except Exception as e:  # noqa: BLE001  any other failure of a plug-in is a warning of its row
+                    rows.append(([], 0, 0, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["reports", "calls", "input_tokens", "output_tokens", "warning"])
+
+    return ask
+
+
+def grounded_spans(text: Column, reports: Column, existing: Column) -> Column:
+    """Spans of an array of reports (text, entity_type): right types only, literal word-bounded occurrences that touch no existing span."""
+    known = F.filter(F.coalesce(reports, F.array().cast(REPORT)), lambda r: r.entity_type.isin(*REPORTED))
+    return F.flatten(F.transform(known, lambda r: grounded(text, r.text, r.entity_type, existing))).cast(SPANS)
+
+
+def augment(segments: DataFrame, reporter: Callable[[str], Reply] | None, text: str = "text", spans: str = "spans") -> DataFrame:
+    """Segments with the reporter's grounded spans after their own, and its usage. Without a reporter: unchanged, no usage."""
+    nothing = {"calls": F.lit(0).cast("long"), "input_tokens": F.lit(0).cast("long"), "output_tokens": F.lit(0).cast("long"), "warning": F.lit(None).cast("string")}
+    if reporter is None:
+        return segments.withColumns(nothing)
+    asked = segments.withColumn("_masked", redact(F.col(text), F.col(spans))).withColumn("_reply", reporter_column(reporter)(F.col("_masked")))
+    out = asked.withColumn(spans, F.concat(F.col(spans), grounded_spans(F.col(text), F.col("_reply.reports"), F.col(spans))))
+    return out.withColumns({k: F.col(f"_reply.{k}") for k in nothing}).drop("_masked", "_reply")
+
+
+def usage_totals(segments: DataFrame) -> DataFrame:
+    return segments.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "input_tokens", "output_tokens")))
+
+
+def reports_joined(segments: DataFrame, reports: DataFrame, keys: tuple[str, ...] = ("doc_id", "seg_id")) -> DataFrame:
+    """Segments with spans grounded from a table of reports (keys, text, entity_type) instead of a reporter."""
+    grouped = reports.groupBy(*keys).agg(F.collect_list(F.struct("text", "entity_type")).alias("_reports"))
+    joined = segments.join(grouped, list(keys), "left")
+    return joined.withColumn("spans", F.concat("spans", grounded_spans(F.col("text"), F.col("_reports"), F.col("spans")))).drop("_reports")
