@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import cut, ids_and_texts, ship
+from .common import cut, ids_and_texts, only_ids, ship, text_slices
 from .components import components
 
 WORDS, K, BLOCK = 5, 64, 512
@@ -62,32 +62,29 @@ def shingle_sets(col: pa.Array):
                 yield np.zeros(0, np.uint64)
 
 
-def _fingerprints(sets: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    d = [xxhash.xxh3_128_intdigest(s) for s in sets]
-    return pa.array([(x >> 64) - (1 << 63) for x in d], pa.int64()), pa.array([(x & (2**64 - 1)) - (1 << 63) for x in d], pa.int64())
+def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63)
 
 
 def _sketches(batches):
-    for b in batches:
-        ids, n, digests, sk, at = b.column("doc_id"), [], [], [], [0]
+    for b in text_slices(batches):
+        n, marks, sk, at = [], [], [], [0]
         for s in shingle_sets(b.column("text")):
             n.append(len(s))
-            digests.append(s.tobytes())
-            sk.append(s[:K])
+            marks.append(_fingerprint(s))
+            sk.append(s[:K].astype(np.int64))
             at.append(at[-1] + len(sk[-1]))
-        hi, lo = _fingerprints(digests)
-        flat = np.concatenate([*sk, np.zeros(0, np.uint64)]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), hi, lo, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
-            ["doc_id", "n", "fp1", "fp2", "sketch"],
-        )
+        flat = np.concatenate([*sk, np.zeros(0, np.int64)])
+        hi, lo = (pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), hi, lo, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["doc_id", "n", "fp1", "fp2", "sketch"])
 
 
 def _sets(batches):
-    for b in batches:
-        sets = [s.tobytes() for s in shingle_sets(b.column("text"))]
-        hi, lo = _fingerprints(sets)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), hi, lo, pa.array(sets, pa.binary())], ["id", "fp1", "fp2", "set"])
+    for b in text_slices(batches):
+        sets = list(shingle_sets(b.column("text")))
+        hi, lo = (pa.array(x, pa.int64()) for x in (zip(*map(_fingerprint, sets), strict=True) if sets else ((), ())))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), hi, lo, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "fp1", "fp2", "set"])
 
 
 def _verifier(percent: int):
@@ -167,14 +164,16 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     sk = cut(docs.mapInArrow(_sketches, "doc_id long, n long, fp1 long, fp2 long, sketch array<long>"))
     live = sk.where("doc_id IS NOT NULL AND n > 0")
     classes = live.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    chosen = live.join(classes, ["fp1", "fp2"]).where("doc_id = rep").groupBy("rep").agg(F.max(F.struct("fp1", "fp2", "n", "sketch")).alias("x"))
-    reps = cut(chosen.select("rep", "x.*"))
+    classes = cut(classes)
+    chosen = classes.groupBy("rep").agg(F.max(F.struct("fp1", "fp2")).alias("x")).select(F.col("rep").alias("doc_id"), "x.*")
+    reps = cut(live.join(chosen, ["fp1", "fp2", "doc_id"]).dropDuplicates(["fp1", "fp2", "doc_id"]).select(F.col("doc_id").alias("rep"), "fp1", "fp2", "n", "sketch"))
 
-    values = reps.select("rep", F.col("n"), F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    values = reps.select("rep", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # a sketch below K is the whole set: what a link shares with it is then known exactly
     least = F.when(F.col("n") < K, F.ceil(percent * F.col("n") / 100)).otherwise(K // 2)
-    mine = values.join(shared, "v").groupBy("rep", "n", "k").agg(F.sum("df").alias("central"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    mine = values.join(shared, "v").groupBy("rep").agg(F.sum("df").alias("central"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    mine = mine.join(reps.select("rep", "n"), "rep")
     # values that no other class has are the rarest: they come first in the prefix of k - ceil(k/2) + 1
     prefix = mine.select("rep", "n", "central", F.explode(F.slice("vs", 1, F.greatest(F.lit(0), F.size("vs") - least.cast("int") + 1))).alias("x"))
     lists = cut(prefix.select("rep", "n", "central", F.col("x.v").alias("v"), F.col("x.df").alias("df")))
@@ -223,4 +222,5 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int)
 def _full_sets(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
     """(id, set) of the representatives in need. Of rows that repeat a doc_id, the fingerprint finds the one that stands for the class."""
     own = reps.join(need, reps.rep == need.id, "left_semi").select(F.col("rep").alias("id"), "fp1", "fp2")
-    return docs.join(need, docs.doc_id == need.id, "left_semi").mapInArrow(_sets, "id long, fp1 long, fp2 long, set binary").join(own, ["id", "fp1", "fp2"]).select("id", "set").dropDuplicates(["id"])
+    some = only_ids(docs, "doc_id", need.select("id"))
+    return some.mapInArrow(_sets, "id long, fp1 long, fp2 long, set binary").join(own, ["id", "fp1", "fp2"]).select("id", "set").dropDuplicates(["id"])
