@@ -221,6 +221,13 @@ def test_files(spark, tmp_path):
     assert sinks.existing(spark, str(out)).count() == 2
 
 
+def test_outputs_that_collide(spark):
+    done = spark.createDataFrame([("b.json", "x.json", "succeeded", None), ("a.json", "x.json", "succeeded", None), ("c.json", "y.json", "succeeded", None), ("d.json", "z.json", "failed", "bad")], "relative string, output_path string, status string, reason string")
+    taken = spark.createDataFrame([("y.json",)], "output_path string")
+    got = {r.relative: (r.status, r.reason) for r in sinks.guard(done, taken).collect()}
+    assert got["a.json"] == ("succeeded", None) and got["b.json"][0] == got["c.json"][0] == "failed" and got["d.json"] == ("failed", "bad")
+
+
 def test_stream(spark, tmp_path):
     from veilmark.streaming.files import read_stream, redact_stream
 

@@ -185,8 +185,8 @@ SELECT id, kind, CASE kind WHEN 'AWS_ACCOUNT_ID' THEN concat('xxxxxxxx', right(t
  WHEN 'PERSON_NAME' THEN concat(left(text, CASE WHEN length(text) <= 4 THEN 1 WHEN length(text) <= 6 THEN 2 WHEN length(text) <= 8 THEN 3 ELSE 4 END), repeat('x', greatest(0, length(text) - CASE WHEN length(text) <= 4 THEN 1 WHEN length(text) <= 6 THEN 2 WHEN length(text) <= 8 THEN 3 ELSE 4 END)))
  ELSE '(REDACTED)' END AS masked FROM ({_MASKED}) m""")
 def mask_rules(spark, d):
-    kinds = spark.createDataFrame([(k,) for k in ("AWS_ACCOUNT_ID", "AWS_ACCESS_KEY_ID", "PHONE_NUMBER", "PERSON_NAME", "EMAIL")], "kind string")
-    c = table(spark, d, "customer").crossJoin(F.broadcast(kinds))  # five rows
+    kinds = ("AWS_ACCOUNT_ID", "AWS_ACCESS_KEY_ID", "PHONE_NUMBER", "PERSON_NAME", "EMAIL")
+    c = table(spark, d, "customer").withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
     text = _MASKED[_MASKED.index("CASE kind") : _MASKED.index(" AS text")]
     return c.selectExpr("c_custkey AS id", "kind", f"{text} AS text").select("id", "kind", mask(F.col("text"), F.col("kind")).alias("masked"))
 
