@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-W = r"[\p{L}\p{N}_]"
+# Java looks behind by whole code points only in patterns that spell one out beyond the BMP; both are in their classes already
+W = "[\\p{L}\\p{N}_\U00010400]"
+NOT_AFTER_DIGIT = "(?<![\\p{Nd}\U000104a0])"
 NOT_AFTER, NOT_BEFORE = rf"(?<!{W})", rf"(?!{W})"
 EDGE = rf"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
 ND, SP = r"\p{Nd}", r"[\s\x{1c}-\x{1f}]"
@@ -47,6 +49,10 @@ def java(pattern: str) -> str:
         i = 4
     while i < len(pattern):
         two = pattern[i : i + 2]
+        if pattern.startswith(r"(?<!\d)", i):
+            out.append(NOT_AFTER_DIGIT)
+            i += len(r"(?<!\d)")
+            continue
         if two == r"\d":
             out.append(ND)
         elif two == r"\w":

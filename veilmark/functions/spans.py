@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .model import ENTITY_TYPES, SPANS
-from .patterns import DATES, ND, NOT_AFTER, NOT_BEFORE, PYTHON, java
+from .patterns import DATES, ND, NOT_AFTER, NOT_AFTER_DIGIT, NOT_BEFORE, PYTHON, java
 
 EMPTY = "CAST(array() AS array<struct<text:string,start:int,end:int>>)"
 
@@ -58,7 +58,7 @@ def date_ranges(text: Column, max_year: int) -> Column:
     """(text, start, end) of what has the shape of a date or time and plausible parts; unsorted, may overlap."""
 
     def part(hit: Column, shape: str, group: int) -> Column:
-        bare = java(DATES[shape]).replace(rf"(?<!{ND})", "^").replace(rf"(?!{ND})", "$")
+        bare = java(DATES[shape]).replace(NOT_AFTER_DIGIT, "^").replace(rf"(?!{ND})", "$")
         return F.regexp_extract(hit, bare, group)
 
     def within(x: Column, low: int, high: int) -> Column:

@@ -47,7 +47,7 @@ def image_leaks(spans: DataFrame, recognised: DataFrame, key: str = "img_id") ->
 def raw_leaks(spans: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans other than URLs that stand in the raw bytes of a file (key, content), read as Latin-1."""
     s = F.struct("text", "entity_type")
-    raw = files.select(key, F.decode("content", F.lit("ISO-8859-1")).alias("_text"))
+    raw = files.select(key, F.decode("content", "ISO-8859-1").alias("_text"))
     return spans.where((F.col("entity_type") != "URL") & checkable(s)).join(raw, key).where(recoverable(F.col("text"), F.col("_text"))).drop("_text")
 
 
