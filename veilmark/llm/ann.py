@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import hashing as H
-from .common import cut, ship
+from .common import cut, ship, tidy
 
 EPSILON, BLOCK, QUERY_BYTES, SEED = 4.0, 2048, 16 << 20, 7
 
@@ -52,7 +52,7 @@ def _sums(dim: int):
             total, n = total + x.sum(axis=0), n + len(x)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "s"])
 
-    return run
+    return tidy(run)
 
 
 def _encode(dim: int, mean: np.ndarray, seed: int):
@@ -66,7 +66,7 @@ def _encode(dim: int, mean: np.ndarray, seed: int):
             fit = np.abs(o).sum(axis=1) / np.sqrt(dim)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(fit)], ["vec_id", "v", "code", "norm", "fit"])
 
-    return run
+    return tidy(run)
 
 
 def _search(shared, dim: int, mean: np.ndarray, seed: int, k: int, epsilon: float):
@@ -108,7 +108,7 @@ def _search(shared, dim: int, mean: np.ndarray, seed: int, k: int, epsilon: floa
         q, r = np.nonzero(np.isfinite(best_d))
         yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_i[q, r]), pa.array(best_d[q, r])], ["query_id", "vec_id", "score"])
 
-    return run
+    return tidy(run)
 
 
 def nearest(df: DataFrame, every: int = 100, k: int = 10, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
@@ -124,7 +124,7 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, epsilon: float = EPSIL
     """
     spark = df.sparkSession
     ship(spark)
-    valid = cut(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_pack, "vec_id long, dim int, v binary"))
+    valid = cut(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(tidy(_pack), "vec_id long, dim int, v binary"))
     most = valid.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -65,12 +65,37 @@ def text_slices(batches, column: str = "text", limit: int = 1 << 20):
             yield b.slice(i, j - i)
 
 
+def tidy(run):
+    """A function over batches that gives its worker's free memory back to the system when it ends.
+
+    Workers live on for later tasks, two and more per executor, and would keep their peak otherwise.
+    """
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it keeps what it likes
+                pass
+
+    return whole
+
+
 FILTER_WORDS = 1 << 17
 
 
-def only_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+def only_ids(df: DataFrame, key: str, ids: DataFrame, then=None, schema: str | None = None) -> DataFrame:
     """At least the rows of df whose key is in the one column of ids, and hardly any other; join exactly afterwards.
 
+    then, a function over batches, is applied to those rows in the same worker; schema is what it yields.
+
     A Bloom filter of FILTER_WORDS 64-bit words (1 MB, three bits an id within one word) is broadcast, so wide rows are
     dropped where they are read instead of being shuffled. Beyond a million ids it would let most rows
     pass: then it is a plain semi join.
@@ -84,7 +109,8 @@ def only_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
         mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, CAST(shiftright(xxhash64(CAST(`{name}` AS LONG)), {k}) & 63 AS INT))"))
     found = ids.where(F.col(name).isNotNull()).select(F.expr(f"shiftrightunsigned(xxhash64(CAST(`{name}` AS LONG)), {64 - 17})").alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"), F.count(F.lit(1)).alias("n")).toPandas()
     if found.n.sum() > 8 * FILTER_WORDS:
-        return df.join(ids, df[key] == ids[name], "left_semi")
+        some = df.join(ids, df[key] == ids[name], "left_semi")
+        return some.mapInArrow(tidy(then), schema) if then else some
     words = np.zeros(FILTER_WORDS, np.uint64)
     words[found.w.to_numpy(np.int64)] = found.m.to_numpy(np.int64).view(np.uint64)
     shared = df.sparkSession.sparkContext.broadcast(words.tobytes())
@@ -98,7 +124,8 @@ def only_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
                 want |= np.uint64(1) << (x >> np.uint64(k) & np.uint64(63))
             yield b.select(list(range(b.num_columns - 1))).filter(pa.array((table[x >> np.uint64(64 - 17)] & want) == want))
 
-    return df.withColumn("_hash_of_key", F.xxhash64(F.col(key).cast("long"))).mapInArrow(run, df.schema)
+    hashed = df.withColumn("_hash_of_key", F.xxhash64(F.col(key).cast("long")))
+    return hashed.mapInArrow(tidy(lambda batches: then(run(batches))), schema) if then else hashed.mapInArrow(tidy(run), df.schema)
 
 
 def ids_and_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boosting import BoostedTrees
-from .common import ids_and_texts, ship
+from .common import ids_and_texts, ship, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION, EXAMPLES, SEED, REACH = 0.97, 12_000, 11, 32
@@ -271,4 +271,4 @@ def personal_data(df: DataFrame, examples: int = EXAMPLES, seed: int = SEED, pre
                 arrays = [b.column("doc_id").slice(at, 512), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha), pa.array(spans), pa.array(added, pa.int64()), pa.array(redacted, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "redacted"])
 
-    return ids_and_texts(df).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string")
+    return ids_and_texts(df).mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string")

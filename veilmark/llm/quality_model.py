@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import ids_and_texts, ship
+from .common import ids_and_texts, ship, tidy
 
 BITS, MAX_LABELLED, EPOCHS = 20, 20_000, 3
 ALPHA, BETA, L1, L2 = 10.0, 1.0, 0.02, 0.0
@@ -39,7 +39,7 @@ def _featurise(bits: int):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array([x.tobytes() for x in features(b.column("text"), bits)], pa.binary())], ["h", "y", "x"])
 
-    return run
+    return tidy(run)
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -93,7 +93,7 @@ def _train(bits: int, epochs: int):
         at = np.flatnonzero(w).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([w[at].tobytes()], pa.binary()), pa.array([bias])], ["at", "w", "bias"])
 
-    return run
+    return tidy(run)
 
 
 def _score(shared, bits: int):
@@ -106,7 +106,7 @@ def _score(shared, bits: int):
             s = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.3).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return run
+    return tidy(run)
 
 
 def train(df: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, bits: int = BITS, epochs: int = EPOCHS):

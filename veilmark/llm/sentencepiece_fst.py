@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import hashing as H
-from .common import ids_and_texts, ship
+from .common import ids_and_texts, ship, tidy
 
 MARK = "▁"
-BYTES, WIDE, CACHED = 3 << 20, 40, 150_000
+BYTES, WIDE, CACHED = 3 << 19, 40, 120_000
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 _machines: dict = {}
 
@@ -345,7 +345,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "ids", "n_tokens", "round_trip"],
                 )
 
-    return ids_and_texts(df).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    return ids_and_texts(df).mapInArrow(tidy(run), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -357,4 +357,4 @@ def decode(df: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if x is None else fst.decode(x) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return df.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")

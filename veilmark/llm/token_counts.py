@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import ids_and_texts, ship
+from .common import ids_and_texts, ship, tidy
 
 MAX_KEY, GROUP, FAN = 48, 256, 64
 ODD = re.compile(r"  |\n\n| \n|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
@@ -87,10 +87,10 @@ def _summaries(most: int):
 
 def frequent_pieces(docs: DataFrame, most: int) -> list[str]:
     count, merge = _summaries(most)
-    parts, found = docs.rdd.getNumPartitions(), docs.select("text").mapInArrow(count, "k array<string>, n array<long>")
+    parts, found = docs.rdd.getNumPartitions(), docs.select("text").mapInArrow(tidy(count), "k array<string>, n array<long>")
     while parts > 1:
         parts = -(-parts // FAN)
-        found = found.repartition(parts).mapInArrow(merge, "k array<string>, n array<long>")
+        found = found.repartition(parts).mapInArrow(tidy(merge), "k array<string>, n array<long>")
     rows = found.select(F.slice("k", 1, most).alias("k")).collect()
     return list(dict.fromkeys(chain.from_iterable(r.k for r in rows)))[:most]
 
@@ -132,4 +132,4 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, frequent: int = 1 <
             size = pa.array(np.diff(H.buffers(col)[1]), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, n, pa.array([x > limit for x in out], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
