@@ -98,3 +98,15 @@ def test_decisions_take_effect(spark):
     assert {r.doc_id for r in stays.collect()} == {r.doc_id for r in near.where("kept").collect()}
     mixed = corpus_pipeline.stage_mixing(spark, docs, "/root/testdata/sf0.001").count()
     assert mixed == mixing.mix(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")).agg(F.sum("copies")).first()[0]
+
+
+def test_scratch_can_be_cleared(spark):
+    from pathlib import Path
+
+    from veilmark.llm.common import clear_scratch, cut, scratch_root
+
+    assert cut(spark.range(3)).count() == 3
+    where = Path(scratch_root(spark).removeprefix("file://")) / "veilmark"
+    assert where.exists()
+    clear_scratch(spark)
+    assert not where.exists()
