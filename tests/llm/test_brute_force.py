@@ -79,14 +79,15 @@ def brute_components(rows, percent=85):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def check_components(spark, rows):
-    want = brute_components(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, TABLE)).collect()}
+def check_components(spark, rows, percent=85):
+    want = brute_components(rows, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, TABLE), percent).collect()}
     assert got == want
 
 
 def test_near_duplicates_on_documents(spark, docs):
     check_components(spark, docs)
+    check_components(spark, docs, 80)
 
 
 def test_near_duplicates_in_a_large_group(spark):

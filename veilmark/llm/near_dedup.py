@@ -8,10 +8,10 @@ How it stays linear where groups are hot:
 
 * Documents with equal shingle sets are one class, and only its representative goes on.
 * A pair of similarity t shares about t*k retained values, so it must share one of the rarer ones:
-  each class is listed under its |sketch| - c + 1 rarest values only, c being half a full sketch (at
-  k = 64 a pair at 0.85 shares fewer with probability below 1e-9) or 0.85 of a set that fits into its
-  sketch whole. A passage that a third of the corpus quotes drops out by its own frequency unless it
-  fills half a document.
+  each class is listed under its |sketch| - c + 1 rarest values only, c being what a link shares
+  of full sketches but for a chance of 1e-9 (fewest_shared), or t of a set that fits into its sketch
+  whole. A passage that a third of the corpus quotes drops out by its own frequency unless it
+  fills about half a document.
 * In each list, all members are first compared with the list's most central member (the class whose
   values are the most frequent, mostly the original of the copies). What is linked becomes one
   component, found by alternating large and small stars.
@@ -22,6 +22,8 @@ How it stays linear where groups are hot:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import cut, ids_and_texts, only_ids, ship, text_slices
+from .common import cut, ids_and_texts, only_ids, ship, text_slices, tidy
 from .components import components
 
 WORDS, K, BLOCK = 5, 64, 512
@@ -151,7 +153,17 @@ def _in_blocks(percent: int):
     return run
 
 
-def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
+def fewest_shared(percent: int, k: int = K, chance: float = 1e-9) -> int:
+    """How many of the union's k least values both sketches hold at the given similarity, but for the given chance."""
+    p, tail = percent / 100, 0.0
+    for c in range(k + 1):
+        tail += math.comb(k, c) * p**c * (1 - p) ** (k - c)
+        if tail >= chance:
+            return c
+    return k
+
+
+def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df (doc_id, text), links at Jaccard >= percent / 100.
 
     Null texts are empty; a document without words has no shingles, is linked with nothing and is kept.
@@ -161,7 +173,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     docs = ids_and_texts(df)
-    sk = cut(docs.mapInArrow(_sketches, "doc_id long, n long, fp1 long, fp2 long, sketch array<long>"))
+    sk = cut(docs.mapInArrow(tidy(_sketches), "doc_id long, n long, fp1 long, fp2 long, sketch array<long>"))
     live = sk.where("doc_id IS NOT NULL AND n > 0")
     classes = live.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     classes = cut(classes)
@@ -169,9 +181,11 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     reps = cut(live.join(chosen, ["fp1", "fp2", "doc_id"]).dropDuplicates(["fp1", "fp2", "doc_id"]).select(F.col("doc_id").alias("rep"), "fp1", "fp2", "n", "sketch"))
 
     values = reps.select("rep", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # aggregates are written before they are joined on their own key: joined at once they'd share their shuffle
+    # with the join, and Spark couldn't split a value that very many classes have
+    shared = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     # a sketch below K is the whole set: what a link shares with it is then known exactly
-    least = F.when(F.col("n") < K, F.ceil(percent * F.col("n") / 100)).otherwise(K // 2)
+    least = F.when(F.col("n") < K, F.ceil(percent * F.col("n") / 100)).otherwise(fewest_shared(percent))
     mine = values.join(shared, "v").groupBy("rep").agg(F.sum("df").alias("central"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     mine = mine.join(reps.select("rep", "n"), "rep")
     # values that no other class has are the rarest: they come first in the prefix of k - ceil(k/2) + 1
@@ -179,12 +193,14 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     lists = cut(prefix.select("rep", "n", "central", F.col("x.v").alias("v"), F.col("x.df").alias("df")))
 
     hubs = lists.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("neg"), "n")).alias("h")).select("v", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = cut(hubs)
     first = lists.join(hubs, "v").where(f"rep <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = cut(_verified(docs, reps, first, percent))
     found = components(links)
 
     placed = lists.join(found, lists.rep == found.id, "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("head")).where("lo < hi").select("v", "head")
+    mixed = cut(mixed)
     open_ = cut(placed.join(mixed, "v").select("rep", "n", "comp", "head").distinct())
     groups = components(open_.select(F.col("head").alias("a"), F.col("rep").alias("b")))
     members = open_.select("rep", "n", "comp").distinct().join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep")
@@ -193,7 +209,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     sets = _full_sets(docs, reps, members.select(F.col("rep").alias("id")))
     dealt = members.join(sets, members.rep == sets.id).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = dealt.select("g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "n", "comp", "block", "set")
-    more = cut(dealt.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(_in_blocks(percent), "a long, b long").distinct())
+    more = cut(dealt.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(tidy(_in_blocks(percent)), "a long, b long").distinct())
     members = live.join(classes, ["fp1", "fp2"]).select("doc_id", "rep")
     # a doc_id on several rows joins their classes
     ties = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
@@ -209,18 +225,18 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose union sketch estimates half or more, confirmed on the full sets."""
+    """Of the pairs (a, b), those whose union's sketch allows for the similarity, confirmed on the full sets."""
     x, y = (reps.select(F.col("rep").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    likely = pairs.join(x, "a").join(y, "b").where(2 * F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))) >= F.size(union)).select("a", "b")
-    likely = cut(likely)
+    likely = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))).alias("both"))
+    likely = cut(likely.where(F.when(F.col("u") < K, 100 * F.col("both") >= percent * F.col("u")).otherwise(F.col("both") >= fewest_shared(percent))).select("a", "b"))
     sets = cut(_full_sets(docs, reps, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()))
     sa, sb = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return likely.join(sa, "a").join(sb, "b").mapInArrow(_verifier(percent), "a long, b long")
+    return likely.join(sa, "a").join(sb, "b").mapInArrow(tidy(_verifier(percent)), "a long, b long")
 
 
 def _full_sets(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
     """(id, set) of the representatives in need. Of rows that repeat a doc_id, the fingerprint finds the one that stands for the class."""
     own = reps.join(need, reps.rep == need.id, "left_semi").select(F.col("rep").alias("id"), "fp1", "fp2")
-    some = only_ids(docs, "doc_id", need.select("id"))
-    return some.mapInArrow(_sets, "id long, fp1 long, fp2 long, set binary").join(own, ["id", "fp1", "fp2"]).select("id", "set").dropDuplicates(["id"])
+    some = only_ids(docs, "doc_id", need.select("id"), _sets, "id long, fp1 long, fp2 long, set binary")
+    return some.join(own, ["id", "fp1", "fp2"]).select("id", "set").dropDuplicates(["id"])
