@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.masking import redact
 from ..functions.model import SPANS
 from ..functions.spans import grounded
+from ..session import ship
 
 REPORTED = ("PERSON_NAME", "COMPANY_NAME")
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 10, 1.0, 60.0
@@ -56,6 +57,7 @@ def reporter_column(reporter: Callable[[str], Reply], sleep: Callable[[float], N
 
     Usage comes back in columns, to be summed; a task that Spark runs again counts once, as its rows do.
     """
+    ship()
 
     @F.pandas_udf(REPLY)
     def ask(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

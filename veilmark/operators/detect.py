@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import matching
 from ..functions.model import SPANS, EngineConfig
 from ..functions.spans import regex_core
+from ..session import ship
 
 REGISTRY: dict[str, object] = {}
 
@@ -23,6 +24,7 @@ def register(name: str, factory) -> None:
 def fused(config: EngineConfig):
     """A pandas UDF (text, known names) -> spans of all detectors in order. The matcher is built once per worker task."""
     companies, max_year = tuple(config.companies), config.max_year
+    ship()
 
     @F.pandas_udf(SPANS)
     def detect(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -36,6 +38,7 @@ def fused(config: EngineConfig):
 def company_matches(names: Sequence[str]):
     """A pandas UDF text -> spans of curated names."""
     names = tuple(names)
+    ship()
 
     @F.pandas_udf(SPANS)
     def detect(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -15,6 +15,7 @@ from ..functions.masking import hidden_ranges, mask, merge, redact
 from ..functions.model import SPANS, EngineConfig
 from ..functions.spans import date_ranges, detector
 from ..operators import augment, detect, identity, layout, structured, verify
+from ..session import ship
 from ..sources import files
 from .redact import redact_documents, redact_segments, redact_texts
 
@@ -45,7 +46,11 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query(name: str, oracle: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle:
             ORACLE[name] = oracle
         return f
