@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from .. import session
+
+_own_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="veilmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="veilmark-")
+        root = _own_roots[app]
     return root.rstrip("/")
 
 
@@ -38,19 +39,10 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, once per application, and bounds the batches they get by bytes."""
+    """Makes this package importable in Python workers and bounds the batches they get by bytes."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "64MB"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="veilmark-")) / "veilmark_pkg.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, os.path.join(package.name, p.relative_to(package)))
-    spark.sparkContext.addPyFile(str(out))
-    _shipped.add(app)
+    session.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
