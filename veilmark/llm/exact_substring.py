@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import cut, ids_and_texts, ship
+from .common import cut, ids_and_texts, ship, tidy
 
 LENGTH, TRIGGER, HOT = 200, 32, 20_000
 _inverse: dict = {}
@@ -90,7 +90,7 @@ def parse(data: np.ndarray, offs: np.ndarray, length: int = LENGTH):
 def _phrases(length: int):
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d", "row_id"))
             data, offs = H.buffers(b.column("text"))
             for i, j in H.chunks(offs):
                 part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
@@ -99,11 +99,11 @@ def _phrases(length: int):
                 starts = np.searchsorted(row, np.arange(len(o)))
                 number = np.arange(len(row)) - starts[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j][row]), pa.array(number.astype(np.int32)), pa.array(r.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))],
-                    ["row_id", "k", "trigger", "s1", "s2"],
+                    [pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array(number.astype(np.int32)), pa.array(r.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))],
+                    ["d", "row_id", "k", "trigger", "s1", "s2"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _texts(length: int):
@@ -127,7 +127,7 @@ def _texts(length: int):
                         out["bytes"].append(part[first[p] : last[p] + length].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("trigger", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("hot", pa.bool_()), ("windows", pa.int32()), ("bytes", pa.binary())]))
 
-    return run
+    return tidy(run)
 
 
 def _window_hashes(blobs: pa.Array, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def _repeated_here(length: int):
         if held is not None:
             yield solve(held)
 
-    return run
+    return tidy(run)
 
 
 def _by_trigger(trig: np.ndarray, limit: int = 8192):
@@ -198,7 +198,7 @@ def _window_rows(length: int):
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([t.column("s1").take(take), t.column("s2").take(take), pa.array(offset.astype(np.int32)), pa.array(h.view(np.int64)), t.column("trigger").take(take)], ["s1", "s2", "o", "h", "trigger"])
 
-    return run
+    return tidy(run)
 
 
 def _bits_of_offsets(batches):
@@ -250,7 +250,7 @@ def _remove(length: int):
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    return run
+    return tidy(run)
 
 
 def exact_substring_dedup(df: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -261,27 +261,29 @@ def exact_substring_dedup(df: DataFrame, length: int = LENGTH, hot: int = HOT) -
     rows like any other: each is a text of its own. Other columns are ignored.
     """
     ship(df.sparkSession)
-    # rows need an id that is stable over three readings and unique over repeated doc_ids: doc_id and a hash of
+    # rows need a key that is stable over three readings and tells repeated doc_ids apart: doc_id and a hash of
     # the text name a row up to exact repetition, and exact repetitions have equal results once counted as two
-    docs = ids_and_texts(df).select("doc_id", "text", F.xxhash64("text", F.coalesce("doc_id", F.lit(-1))).alias("row_id"))
-    phrases = docs.select(F.col("row_id").alias("doc_id"), "text").mapInArrow(_phrases(length), "row_id long, k int, trigger long, s1 long, s2 long")
+    docs = ids_and_texts(df).select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("text").alias("row_id"))
+    phrases = docs.select("d", "row_id", "text").mapInArrow(_phrases(length), "d long, row_id long, k int, trigger long, s1 long, s2 long")
     phrases = cut(phrases)
-    twice = phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger")
+    # aggregates are written before they are joined on their own key: joined at once they'd share their shuffle
+    # with the join, and Spark couldn't split a trigger that very many phrases have
+    twice = cut(phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger"))
     live = cut(phrases.join(twice, "trigger"))
-    entries = cut(live.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "k", "trigger")).alias("at")).select("s1", "s2", "n", "at.*"))
-    shared = entries.groupBy("trigger").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    entries = cut(live.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "row_id", "k", "trigger")).alias("at")).select("s1", "s2", "n", "at.*"))
+    shared = cut(entries.groupBy("trigger").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     # a phrase can also hold one window twice by itself (its text has a period): its trigger then stands in it
     # twice, so that its windows belong to two phrases of one trigger, which are in entries both
-    edge = entries.join(shared, "trigger").where("n = 1 OR m > 1").select("row_id", F.struct("k", "trigger", "s1", "s2", (F.col("m") > hot).alias("hot")).alias("x"))
-    edge = edge.groupBy("row_id").agg(F.collect_list("x").alias("ks"))  # at most the phrases of one text
-    blobs = cut(docs.select("row_id", "text").dropDuplicates(["row_id"]).join(edge, "row_id").select("text", "ks").mapInArrow(_texts(length), "trigger long, s1 long, s2 long, hot boolean, windows int, bytes binary"))
+    edge = entries.join(shared, "trigger").where("n = 1 OR m > 1").select("d", "row_id", F.struct("k", "trigger", "s1", "s2", (F.col("m") > hot).alias("hot")).alias("x"))
+    edge = edge.groupBy("d", "row_id").agg(F.collect_list("x").alias("ks"))  # at most the phrases of one text
+    blobs = cut(docs.select("d", "row_id", "text").dropDuplicates(["d", "row_id"]).join(edge, ["d", "row_id"]).select("text", "ks").mapInArrow(_texts(length), "trigger long, s1 long, s2 long, hot boolean, windows int, bytes binary"))
     schema = "s1 long, s2 long, bits binary"
     cool = blobs.where("NOT hot").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_repeated_here(length), schema)
     spread = blobs.where("hot").mapInArrow(_window_rows(length), "s1 long, s2 long, o int, h long, trigger long")
-    again = spread.groupBy("h", "trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "trigger")
-    warm = spread.join(again, ["h", "trigger"]).groupBy("s1", "s2").agg(F.collect_set("o").alias("os")).mapInArrow(_bits_of_offsets, schema)
+    again = cut(spread.groupBy("h", "trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "trigger"))
+    warm = spread.join(again, ["h", "trigger"]).groupBy("s1", "s2").agg(F.collect_set("o").alias("os")).mapInArrow(tidy(_bits_of_offsets), schema)
     bits = cut(cool.where("bits IS NOT NULL").union(warm))
     state = entries.select("s1", "s2", (F.col("n") > 1).alias("whole")).join(bits, ["s1", "s2"], "left").where("whole OR bits IS NOT NULL")
-    state = state.select("s1", "s2", "whole", F.when(~F.col("whole"), F.col("bits")).alias("bits"))
-    marks = live.join(state, ["s1", "s2"]).groupBy("row_id").agg(F.collect_set(F.struct("k", "whole", "bits")).alias("marks"))
-    return docs.join(marks, "row_id", "left").select("doc_id", "text", "marks").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    state = cut(state.select("s1", "s2", "whole", F.when(~F.col("whole"), F.col("bits")).alias("bits")))
+    marks = live.join(state, ["s1", "s2"]).groupBy("d", "row_id").agg(F.collect_set(F.struct("k", "whole", "bits")).alias("marks"))
+    return docs.join(marks, ["d", "row_id"], "left").select("doc_id", "text", "marks").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
