@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import cut, ship, text_of
+from .common import cut, ship, text_of, tidy
 
 EVERY = 4
 
@@ -60,7 +60,7 @@ def _occurrences(every: int):
                 take = pa.array(i + row[w])
                 yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(number[w].astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "row_id", "k", "h1", "h2"])
 
-    return run
+    return tidy(run)
 
 
 def _originals(every: int):
@@ -80,7 +80,7 @@ def _originals(every: int):
                         out["original"].append(part[start[p] : end[p]].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("original", pa.binary())]))
 
-    return run
+    return tidy(run)
 
 
 def _remove(every: int):
@@ -106,7 +106,7 @@ def _remove(every: int):
                     n_chunks.append(len(gone))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(n_chunks, pa.int64())], ["row", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
-    return run
+    return tidy(run)
 
 
 def line_dedup(df: DataFrame, every: int = EVERY) -> DataFrame:
@@ -121,13 +121,15 @@ def line_dedup(df: DataFrame, every: int = EVERY) -> DataFrame:
     others = [F.col(c) for c in df.columns if c != "text"]
     row = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
     docs = df.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    docs = docs.withColumn("row_id", F.xxhash64("text", F.coalesce("doc_id", F.lit(-1))))
+    docs = docs.withColumn("d", F.coalesce("doc_id", F.lit(-1))).withColumn("row_id", F.xxhash64("text"))
     occ = cut(docs.select("doc_id", "row_id", "text").mapInArrow(_occurrences(every), "doc_id long, row_id long, k int, h1 long, h2 long"))
-    repeated = occ.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row_id", "k")).alias("first")).where("n > 1").select("h1", "h2", F.col("first.row_id").alias("r"), F.col("first.k").alias("f"))
-    cand = cut(occ.join(repeated, ["h1", "h2"]).select("row_id", "k", "h1", "h2", ((F.col("row_id") == F.col("r")) & (F.col("k") == F.col("f"))).alias("first")))
-    owners = cand.where("first").groupBy("row_id").agg(F.collect_set(F.struct("k", "h1", "h2")).alias("ks"))
-    originals = docs.select("row_id", "text").join(owners, "row_id").select("text", "ks").mapInArrow(_originals(every), "h1 long, h2 long, original binary").dropDuplicates(["h1", "h2"])
-    marks = cand.where("NOT first").join(originals, ["h1", "h2"]).groupBy("row_id").agg(F.collect_set(F.struct("k", "original")).alias("marks"))
+    repeated = occ.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row_id", "k")).alias("first")).where("n > 1").select("h1", "h2", F.coalesce("first.doc_id", F.lit(-1)).alias("o"), F.col("first.row_id").alias("r"), F.col("first.k").alias("f"))
+    repeated = cut(repeated)  # else its shuffle would be the join's, and Spark couldn't split a chunk's occurrences
+    cand = cut(occ.join(repeated, ["h1", "h2"]).select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "row_id", "k", "h1", "h2", "o", "r", "f").withColumn("first", F.expr("d = o AND row_id = r AND k = f")).drop("o", "r", "f"))
+    owners = cand.where("first").groupBy("d", "row_id").agg(F.collect_set(F.struct("k", "h1", "h2")).alias("ks"))
+    originals = docs.select("d", "row_id", "text").join(owners, ["d", "row_id"]).select("text", "ks").mapInArrow(_originals(every), "h1 long, h2 long, original binary").dropDuplicates(["h1", "h2"])
+    originals = cut(originals)
+    marks = cand.where("NOT first").join(originals, ["h1", "h2"]).groupBy("d", "row_id").agg(F.collect_set(F.struct("k", "original")).alias("marks"))
     marks = cut(marks)
     out = T.StructType([T.StructField("row", docs.schema["row"].dataType), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_chunks"))])
-    return docs.join(marks, "row_id", "left").select("row", "text", "marks").mapInArrow(_remove(every), out)
+    return docs.join(marks, ["d", "row_id"], "left").select("row", "text", "marks").mapInArrow(_remove(every), out)
