@@ -20,7 +20,7 @@ from .quality_rules import word_list
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.9, "low": 0.06, "toxic": 0.04}
-BUCKETS, MAX_LABELLED, STEPS, TOLERANCE = 1 << 16, 20_000, 40, 1e-6
+BUCKETS, MAX_LABELLED, STEPS, TOLERANCE, SNAP = 1 << 16, 20_000, 40, 1e-6, 0.05
 
 
 def _bucketed(docs: DataFrame, *keys: str) -> DataFrame:
@@ -39,7 +39,7 @@ def classifier(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     seen = docs.join(F.broadcast(picked), "doc_id")  # at most ``most`` rows of about 20 bytes
     sizes = {r.domain: r.n for r in picked.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values()) + len(DOMAINS)
-    counts = cut(_bucketed(seen, "domain").groupBy("b").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)), 1)
+    counts = cut(_bucketed(seen, "domain").groupBy("b").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)))
     sums = counts.agg(*(F.sum(d).alias(d) for d in DOMAINS)).first()
     sums = {d: (sums[d] or 0) for d in DOMAINS}
     everything = reduce(lambda a, b: a + b, (F.col(d) for d in DOMAINS))
@@ -78,7 +78,8 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = Non
 
     Targets: weights times a total at which clean text keeps its own token count, so clean documents get rates
     near 1 and the others what their weight leaves. copies is the whole part of rate plus one where a hash of
-    the document falls under the fraction. A null text is empty: no tokens, the priors. Rows equal in doc_id and
+    the document falls under the fraction, fractions within SNAP of 0 or 1 being taken for it: a document whose
+    rate is 1 but for the classifier's doubt comes once. A null text is empty: no tokens, the priors. Rows equal in doc_id and
     text share one row here (h is the text's hash). An empty table gives an empty one; other columns are ignored.
     """
     weights = weights or WEIGHTS
@@ -102,6 +103,7 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = Non
         past.append(gap)
         now = tokens(_rate(past))
     u = F.pmod(F.xxhash64("doc_id", "h", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    part = (F.col("rate") - F.floor("rate") - SNAP) / (1 - 2 * SNAP)
     rate = _rate(past)
     out = p.withColumn("rate", rate)
-    return out.select("doc_id", "h", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))
+    return out.select("doc_id", "h", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", (F.floor("rate") + (u < part).cast("int")).cast("int").alias("copies"))
