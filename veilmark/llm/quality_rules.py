@@ -64,18 +64,17 @@ def rule_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -
 
 
 def host_verdicts(failures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, n, rate, host_ok) of (host, failed). The prior is one row: moments of all hosts' rates.
+    """(host, n, rate, host_ok) of (host, failed). The prior comes from the moments of all hosts' rates.
 
     With mean m and variance v of the hosts' rates, the prior's strength is s = m(1-m)/v - 1, held between
     1 and 1000; rate = (failed + s*m) / (n + s).
     """
-    hosts = failures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
+    hosts = cut(failures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f")))
     rate = F.col("f") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    s = F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(1000.0)))
-    prior = prior.select("m", s.alias("s"))
-    out = hosts.join(F.broadcast(prior), F.lit(True))  # one row by construction
-    return out.select("host", "n", ((F.col("f") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s"))).alias("rate")).withColumn("host_ok", F.col("rate") <= max_rate)
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()  # two numbers
+    m, v = prior.m or 0.0, prior.v or 0.0
+    s = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
+    return hosts.select("host", "n", ((F.col("f") + s * m) / (F.col("n") + s)).alias("rate")).withColumn("host_ok", F.col("rate") <= max_rate)
 
 
 def quality_rules(df: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
