@@ -20,16 +20,24 @@ def checkable(span: Column) -> Column:
     return ~((span.entity_type == "USERNAME_MENTION") & (F.length(span.text) < MIN_MENTION))
 
 
+def _hides(span: Column) -> Column:
+    """Partial masks leave part of a text, never all of it, unless it is too short to hide anything of."""
+    return ~((span.entity_type == "PERSON_NAME") & (F.length(span.text) <= 1)) & ~((span.entity_type == "AWS_ACCESS_KEY_ID") & (F.length(span.text) <= 8))
+
+
+def leak_count(spans: Column, text: Column) -> Column:
+    """How many of a row's spans are still in the redacted text beside them."""
+    return F.coalesce(F.size(F.filter(spans, lambda s: checkable(s) & _hides(s) & recoverable(s.text, text))), F.lit(0))
+
+
 def leaks(documents: DataFrame, spans: str = "spans", redacted: str = "redacted", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per masked span whose text is still in the redacted text beside it; must be empty.
 
     keys (doc_id, or doc_id and page) only name the rows: spans and text of one scope are in one row, so
-    nothing is joined or shuffled. Partial masks leave part of a text, never all of it, unless it is too short
-    to hide anything of.
+    nothing is joined or shuffled.
     """
     one = documents.select(*keys, F.col(redacted).alias("_text"), F.explode(spans).alias("s"))
-    hidden = ~((F.col("s.entity_type") == "PERSON_NAME") & (F.length("s.text") <= 1)) & ~((F.col("s.entity_type") == "AWS_ACCESS_KEY_ID") & (F.length("s.text") <= 8))
-    return one.where(checkable(F.col("s")) & hidden & recoverable(F.col("s.text"), F.col("_text"))).select(*keys, "s.text", "s.entity_type", "s.start", "s.end")
+    return one.where(checkable(F.col("s")) & _hides(F.col("s")) & recoverable(F.col("s.text"), F.col("_text"))).select(*keys, "s.text", "s.entity_type", "s.start", "s.end")
 
 
 def leaks_across(spans: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -54,11 +62,15 @@ def raw_leaks(spans: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFr
 def with_status(documents: DataFrame, leaking: DataFrame, key: str = "doc_id", ignore_failure: bool = False) -> DataFrame:
     """Adds status and reason: failed by an error or a leak, succeeded_unverified where leaks are only warned of, or succeeded."""
     counts = leaking.groupBy(key).agg(F.count(F.lit(1)).alias("_leaks"))
-    out = documents.join(counts, key, "left")
-    leaked = F.coalesce("_leaks", F.lit(0)) > 0
+    return with_counted_status(documents.join(counts, key, "left").withColumn("_leaks", F.coalesce("_leaks", F.lit(0))), "_leaks", ignore_failure)
+
+
+def with_counted_status(documents: DataFrame, count: str, ignore_failure: bool = False) -> DataFrame:
+    """The same from a column of leak counts, which goes."""
+    leaked = F.col(count) > 0
     status = F.when(F.col("error").isNotNull(), "failed").when(leaked, "succeeded_unverified" if ignore_failure else "failed").otherwise("succeeded")
-    reason = F.coalesce("error", F.when(leaked, F.concat(F.col("_leaks").cast("string"), F.lit(" masked texts are still recoverable"))))
-    return out.withColumns({"status": status, "reason": reason}).drop("_leaks")
+    reason = F.coalesce("error", F.when(leaked, F.concat(F.col(count).cast("string"), F.lit(" masked texts are still recoverable"))))
+    return documents.withColumns({"status": status, "reason": reason}).drop(count)
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
