@@ -227,6 +227,7 @@ def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose union's sketch allows for the similarity, confirmed on the full sets."""
     x, y = (reps.select(F.col("rep").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    pairs = cut(pairs)  # distinct by both, joined by one: in one stage they'd share a shuffle that can't be split
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     likely = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))).alias("both"))
     likely = cut(likely.where(F.when(F.col("u") < K, 100 * F.col("both") >= percent * F.col("u")).otherwise(F.col("both") >= fewest_shared(percent))).select("a", "b"))
