@@ -24,12 +24,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     mark = _mark(now)
     for _ in range(most):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # minima are written before they are joined on their own key: joined at once they'd share their shuffle
+        # with the join, and Spark couldn't split a hub's edges
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         # large star: every larger neighbour of a goes to the least of a and its neighbours
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # small star: a and its smaller neighbours go to the least of them
-        down = large.select(F.col("b").alias("n"), F.col("a").alias("s"))
-        low = down.groupBy("n").agg(F.min("s").alias("m"))
+        down = cut(large.select(F.col("b").alias("n"), F.col("a").alias("s")))
+        low = cut(down.groupBy("n").agg(F.min("s").alias("m")))
         small = down.join(low, "n").where("s <> m").select(F.col("m").alias("a"), F.col("s").alias("b")).union(low.select(F.col("m").alias("a"), F.col("n").alias("b")))
         new = cut(small.where("a <> b").distinct())
         before, after = mark, _mark(new)
