@@ -192,6 +192,45 @@ def test_line_dedup(spark, docs):
     assert sum(len(t or "") for _, t in rows) > sum(map(len, got.values()))
 
 
+def brute_runs(rows):
+    """Every run of lines of every length that stood before, by brute force; it may not overlap its first place."""
+    texts = {i: (t or "").split("\n") if t else [] for i, t in sorted(rows)}
+    words = {i: [k for k, x in enumerate(ls) if WORD.search(x)] for i, ls in texts.items()}
+    first, out = {}, {}
+    for i, ls in texts.items():
+        f = words[i]
+        for a in range(len(f)):
+            for z in range(a + 1, len(f)):
+                first.setdefault("\n".join(ls[f[a] : f[z] + 1]), (i, a))
+    for i, ls in texts.items():
+        f, gone = words[i], set()
+        for a in range(len(f)):
+            for z in range(a + 1, len(f)):
+                d, at = first["\n".join(ls[f[a] : f[z] + 1])]
+                if d != i or at + z - a < a:
+                    gone |= set(range(a, z + 1))
+        owner = [max(0, sum(k <= q for k in f) - 1) for q in range(len(ls))]
+        out[i] = ("\n".join(x for x, n in zip(ls, owner) if n not in gone), sum(n in gone for n in owner), sum(n - 1 not in gone for n in gone))
+    return out
+
+
+def test_every_repeated_run_of_lines_goes(spark, docs):
+    r = random.Random(18)
+    passage = [f"shared passage line {i}" for i in range(7)]
+    rows = []
+    for i in range(60):  # runs of 2 to 7 shared lines, and a shared single line that stays, within otherwise different texts
+        own = [f"own line {i} {k}" for k in range(r.randrange(1, 9))]
+        n = r.randrange(2, 8)
+        a, at = r.randrange(8 - n), r.randrange(len(own) + 1)
+        rows.append((100 + i, "\n".join([*own[:at], *passage[a : a + n], *own[at:], f"own last line {i}", "the same last line"])))
+    rows += [(1, "\n".join(["a"] * 7)), (2, "a\n\nb\nc\n"), (3, "x\na\n\nb\n\n\nc\nb\nc"), (4, "\n\nb\nc\n"), (5, "p\nq\np\nq\np\nq"), (6, ""), (7, None), (8, "\n\n"), (9, "é\né\n \né\né")]
+    rows += [(1000 + i, t) for i, t in docs[:60]]
+    want = brute_runs(rows)
+    got = {x.doc_id: x for x in line_dedup.line_dedup(spark.createDataFrame(rows, TABLE), runs=True).select("row.doc_id", "text", "n_removed_lines", "n_removed_chunks").collect()}
+    assert {i: (x.text, x.n_removed_lines, x.n_removed_chunks) for i, x in got.items()} == want
+    assert all(got[i].text.endswith("\nthe same last line") for i in range(100, 160))
+
+
 def test_boundaries_resist_shifts():
     body = "\n".join(f"some line number {i}" for i in range(200))
     chunks = []

@@ -1,6 +1,11 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by repeated runs of lines, or by content-defined chunks of lines.
 
-Lines are hashed; a rolling hash over each two neighbouring line hashes ends a chunk where it is 0 modulo
+Runs (what op10 and the pipeline use): a run of two or more lines is made of pairs of neighbouring lines that hold
+a word, with what stands between them. Each pair is hashed, so every repeated run is found, wherever it begins or
+ends. A line goes if a pair it is part of stood before, after the pair's bytes are compared with the first place's
+bytes. Every line that goes stands at an earlier place too, and its first place is never removed.
+
+Chunks (faster, coarser): lines are hashed; a rolling hash over each two neighbouring line hashes ends a chunk where it is 0 modulo
 EVERY, so boundaries depend on the lines near them only and survive shifts. Chunks of two or more lines
 that occur more than once in the corpus are removed everywhere but at their first place (smallest doc_id),
 after their bytes are compared with the first place's bytes.
@@ -20,11 +25,9 @@ from .common import cut, ship, text_of, tidy
 EVERY = 4
 
 
-def chunk_spans(data: np.ndarray, offs: np.ndarray, every: int = EVERY):
-    """Row, start, end and lines of each chunk of lines, and how many of its lines hold a word. Empty rows have none."""
+def _lines(data: np.ndarray, offs: np.ndarray):
+    """Row, start, end of each line, whether it is its row's first or last, whether it holds a word. Some row isn't empty."""
     breaks, rows = np.flatnonzero(data == 10), np.flatnonzero(offs[1:] > offs[:-1])
-    if not len(rows):
-        return (np.zeros(0, np.int64),) * 5
     ends = np.concatenate([breaks, offs[1:][rows]])
     row = np.concatenate([np.searchsorted(offs, breaks, side="right") - 1, rows])
     order = np.lexsort((ends, row))
@@ -34,14 +37,22 @@ def chunk_spans(data: np.ndarray, offs: np.ndarray, every: int = EVERY):
     starts = np.concatenate([[0], ends[:-1] + 1])
     begins = np.concatenate([[True], last[:-1]])
     starts[begins] = offs[:-1][row[begins]]
+    ink = np.concatenate([[0], np.cumsum(~H.SPACE[data])])
+    return row, starts, ends, begins, last, ink[ends] > ink[starts]
+
+
+def chunk_spans(data: np.ndarray, offs: np.ndarray, every: int = EVERY):
+    """Row, start, end and lines of each chunk of lines, and how many of its lines hold a word. Empty rows have none."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 5
+    row, starts, ends, begins, last, inked = _lines(data, offs)
     h = H.span_hashes(H.BYTE[data], starts, ends)
     before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
     before[begins] = 0
     stop = (H.mix(before * H.BASE + h) % H.U(every) == 0) | last
     first = np.concatenate([[True], stop[:-1]])
     a, z = np.flatnonzero(first), np.flatnonzero(stop)
-    ink = np.concatenate([[0], np.cumsum(~H.SPACE[data])])
-    full = np.concatenate([[0], np.cumsum(ink[ends] > ink[starts])])
+    full = np.concatenate([[0], np.cumsum(inked)])
     return row[a], starts[a], ends[z], z - a + 1, full[z + 1] - full[a]
 
 
@@ -83,6 +94,81 @@ def _originals(every: int):
     return tidy(run)
 
 
+def pair_spans(data: np.ndarray, offs: np.ndarray):
+    """Row, start, end of each pair of neighbouring lines that hold a word, its number k in its row, and two hashes.
+
+    Pair k of a row is its lines with a word number k and k + 1 and the blank lines between them.
+    """
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 6
+    row, starts, ends, _, _, inked = _lines(data, offs)
+    row, starts, ends = row[inked], starts[inked], ends[inked]
+    a = np.flatnonzero(row[1:] == row[:-1])
+    values, hashes = H.BYTE[data], []
+    for base in (H.BASE, H.BASE2):
+        h, gap = H.span_hashes(values, starts, ends, base), H.span_hashes(values, ends[a], starts[a + 1], base)
+        hashes.append(H.mix(H.mix(h[a] * base + gap) * base + h[a + 1]).view(np.int64))
+    return row[a], starts[a], ends[a + 1], a - np.searchsorted(row, row[a]), *hashes
+
+
+def _pairs(batches):
+    for b in batches:
+        ids, keys = b.column("doc_id"), b.column("row_id")
+        data, offs = H.buffers(b.column("text"))
+        for i, j in H.chunks(offs):
+            row, _, _, k, h1, h2 = pair_spans(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            take = pa.array(i + row)
+            yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(k.astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "row_id", "k", "h1", "h2"])
+
+
+def _pair_originals(batches):
+    for b in batches:
+        data, offs = H.buffers(b.column("text"))
+        out: dict = {"h1": [], "h2": [], "original": []}
+        for i, j in H.chunks(offs):
+            part = data[offs[i] : offs[j]]
+            row, start, end, *_ = pair_spans(part, offs[i : j + 1] - offs[i])
+            at = np.searchsorted(row, np.arange(j - i))
+            for q in range(i, j):
+                for x in b.column("ks")[q].as_py():
+                    p = int(at[q - i]) + x["k"]
+                    out["h1"].append(x["h1"])
+                    out["h2"].append(x["h2"])
+                    out["original"].append(part[start[p] : end[p]].tobytes())
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("original", pa.binary())]))
+
+
+def _remove_pairs(batches):
+    for b in batches:
+        marks, texts, n_lines, n_gone, n_runs = b.column("marks"), [], [], [], []
+        data, offs = H.buffers(b.column("text"))
+        for i, j in H.chunks(offs):
+            part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            row, start, end, *_ = pair_spans(part, o)
+            at = np.searchsorted(row, np.arange(j - i))
+            for q in range(i, j):
+                text = part[o[q - i] : o[q - i + 1]].tobytes()
+                lines = text.count(b"\n") + 1 if text else 0
+                gone = set()
+                for x in marks[q].as_py() or ():
+                    p = int(at[q - i]) + x["k"]
+                    if part[start[p] : end[p]].tobytes() == x["original"]:
+                        gone |= {x["k"], x["k"] + 1}
+                if gone:
+                    all_lines = text.split(b"\n")
+                    _, _, _, _, _, inked = _lines(part[o[q - i] : o[q - i + 1]], np.array([0, len(text)]))
+                    # a blank line goes with the line before it, those at the start with the first
+                    number = np.maximum(np.cumsum(inked) - 1, 0).tolist()
+                    text = b"\n".join(x for x, n in zip(all_lines, number, strict=True) if n not in gone)
+                    n_gone.append(sum(n in gone for n in number))
+                else:
+                    n_gone.append(0)
+                texts.append(text.decode("utf-8", "replace"))
+                n_lines.append(lines)
+                n_runs.append(sum(k - 1 not in gone for k in gone))
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(n_runs, pa.int64())], ["row", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
+
+
 def _remove(every: int):
     def run(batches):
         for b in batches:
@@ -109,9 +195,13 @@ def _remove(every: int):
     return tidy(run)
 
 
-def line_dedup(df: DataFrame, every: int = EVERY) -> DataFrame:
+def line_dedup(df: DataFrame, every: int = EVERY, runs: bool = False) -> DataFrame:
     """row (df's columns but text, as a struct), text (what is left), n_lines, n_removed_lines, n_removed_chunks.
 
+    With runs, every repeated run of two or more lines goes, less what overlaps its own first place (of four equal
+    lines two stay), and n_removed_chunks counts the stretches removed. Blank lines go with the line before them,
+    those at a text's start with its first line. Otherwise only repeated chunks go, cut by every.
+
     A null text is empty and has no lines. Chunks of one line, or with fewer than two lines that hold a word,
     always stay. Rows equal in doc_id and text are one document written twice: neither is the other's
     repetition. Rows without doc_id come first in order. A chunk that very many documents share is one small
@@ -122,14 +212,17 @@ def line_dedup(df: DataFrame, every: int = EVERY) -> DataFrame:
     row = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
     docs = df.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     docs = docs.withColumn("d", F.coalesce("doc_id", F.lit(-1))).withColumn("row_id", F.xxhash64("text"))
-    occ = cut(docs.select("doc_id", "row_id", "text").mapInArrow(_occurrences(every), "doc_id long, row_id long, k int, h1 long, h2 long"))
+    occ = cut(docs.select("doc_id", "row_id", "text").mapInArrow(tidy(_pairs) if runs else _occurrences(every), "doc_id long, row_id long, k int, h1 long, h2 long"))
     repeated = occ.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row_id", "k")).alias("first")).where("n > 1").select("h1", "h2", F.coalesce("first.doc_id", F.lit(-1)).alias("o"), F.col("first.row_id").alias("r"), F.col("first.k").alias("f"))
     repeated = cut(repeated)  # else its shuffle would be the join's, and Spark couldn't split a chunk's occurrences
-    cand = cut(occ.join(repeated, ["h1", "h2"]).select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "row_id", "k", "h1", "h2", "o", "r", "f").withColumn("first", F.expr("d = o AND row_id = r AND k = f")).drop("o", "r", "f"))
+    found = occ.join(repeated, ["h1", "h2"])
+    if runs:  # a pair that shares a line with its own first place is no repetition
+        found = found.where("NOT (coalesce(doc_id, -1) = o AND row_id = r AND k = f + 1)")
+    cand = cut(found.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "row_id", "k", "h1", "h2", "o", "r", "f").withColumn("first", F.expr("d = o AND row_id = r AND k = f")).drop("o", "r", "f"))
     owners = cand.where("first").groupBy("d", "row_id").agg(F.collect_set(F.struct("k", "h1", "h2")).alias("ks"))
-    originals = docs.select("d", "row_id", "text").join(owners, ["d", "row_id"]).select("text", "ks").mapInArrow(_originals(every), "h1 long, h2 long, original binary").dropDuplicates(["h1", "h2"])
+    originals = docs.select("d", "row_id", "text").join(owners, ["d", "row_id"]).select("text", "ks").mapInArrow(tidy(_pair_originals) if runs else _originals(every), "h1 long, h2 long, original binary").dropDuplicates(["h1", "h2"])
     originals = cut(originals)
     marks = cand.where("NOT first").join(originals, ["h1", "h2"]).groupBy("d", "row_id").agg(F.collect_set(F.struct("k", "original")).alias("marks"))
     marks = cut(marks)
     out = T.StructType([T.StructField("row", docs.schema["row"].dataType), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_chunks"))])
-    return docs.join(marks, ["d", "row_id"], "left").select("row", "text", "marks").mapInArrow(_remove(every), out)
+    return docs.join(marks, ["d", "row_id"], "left").select("row", "text", "marks").mapInArrow(tidy(_remove_pairs) if runs else _remove(every), out)
