@@ -116,6 +116,20 @@ def test_near_duplicates_with_small_blocks(spark, monkeypatch):
     check_components(spark, rows)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_about_the_size_of_a_sketch(spark, percent):
+    rows = []
+    for k, (n, m) in enumerate((n, m) for n in range(60, 67) for m in range(n, 81) if 100 * n >= percent * m):
+        for c in range(12 if n < 64 < m else 1):  # a text, and its copy with m - n words more: no third is near them
+            w = [f"w{k}_{c}_{i}" for i in range(m + 4)]
+            rows += [(1000 * k + 2 * c, " ".join(w[: n + 4])), (1000 * k + 2 * c + 1, " ".join(w))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, TABLE), percent).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+    small = near_dedup.fewest_of_small(percent)
+    assert [small[n] for n in (10, 20, 40)] == [math.ceil(percent * n / 100) for n in (10, 20, 40)]
+    assert small[63] == {80: 49, 85: 53}[percent]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 5), (10, 9), (10, 9)] + [(100, k) for k in range(101, 160)]
     got = {(r.id, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -9,9 +9,9 @@ How it stays linear where groups are hot:
 * Documents with equal shingle sets are one class, and only its representative goes on.
 * A pair of similarity t shares about t*k retained values, so it must share one of the rarer ones:
   each class is listed under its |sketch| - c + 1 rarest values only, c being what a link shares
-  of full sketches but for a chance of 1e-9 (fewest_shared), or t of a set that fits into its sketch
-  whole. A passage that a third of the corpus quotes drops out by its own frequency unless it
-  fills about half a document.
+  of full sketches but for a chance of 1e-9 (fewest_shared), or what a set that fits into its sketch
+  whole shares with a link of any size (fewest_of_small). A passage that a third of the corpus quotes drops
+  out by its own frequency unless it fills about half a document.
 * In each list, all members are first compared with the list's most central member (the class whose
   values are the most frequent, mostly the original of the copies). What is linked becomes one
   component, found by alternating large and small stars.
@@ -163,6 +163,20 @@ def fewest_shared(percent: int, k: int = K, chance: float = 1e-9) -> int:
     return k
 
 
+def fewest_of_small(percent: int, k: int = K) -> list[int]:
+    """For each size n below k: how many values such a set shares at least with the sketch of any link.
+
+    A link of m values has at least percent * (n + m) / (100 + percent) of them in common with it, and its sketch
+    lacks m - k of its values, which may all be common ones; or it has fewest_shared, but for that one's chance.
+    """
+    out = [0]
+    for n in range(1, k):
+        sizes = range(-(-percent * n // 100), 100 * n // percent + 1)
+        both = {m: -(-percent * (n + m) // (100 + percent)) for m in sizes}
+        out.append(min(c if m <= k else max(c - (m - k), fewest_shared(percent, k)) for m, c in both.items()))
+    return out
+
+
 def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df (doc_id, text), links at Jaccard >= percent / 100.
 
@@ -184,8 +198,8 @@ def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
     # aggregates are written before they are joined on their own key: joined at once they'd share their shuffle
     # with the join, and Spark couldn't split a value that very many classes have
     shared = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    # a sketch below K is the whole set: what a link shares with it is then known exactly
-    least = F.when(F.col("n") < K, F.ceil(percent * F.col("n") / 100)).otherwise(fewest_shared(percent))
+    # a sketch below K is the whole set, but a link's sketch may still lack some of it
+    least = F.coalesce(F.get(F.array(*map(F.lit, fewest_of_small(percent))), F.col("n").cast("int")), F.lit(fewest_shared(percent)))
     mine = values.join(shared, "v").groupBy("rep").agg(F.sum("df").alias("central"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     mine = mine.join(reps.select("rep", "n"), "rep")
     # values that no other class has are the rarest: they come first in the prefix of k - ceil(k/2) + 1
