@@ -447,6 +447,19 @@ def test_mixing_meets_its_targets(spark):
     assert np.mean(np.array(clean) >= 1) > 0.9
 
 
+def test_copies_realise_the_rates(spark):
+    rates = [0.0, 0.02, 0.05, 0.1, 0.14, 0.28, 0.5, 0.9, 0.97, 1.0, 1.04, 2.3]
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h")).crossJoin(spark.createDataFrame([(x,) for x in rates], "rate double"))
+    got = {r.rate: r.m for r in df.withColumn("c", mixing.copies_of(F.col("rate"))).groupBy("rate").agg(F.avg("c").alias("m")).collect()}
+    assert all(abs(got[x] - x) <= 4.5 * math.sqrt((x % 1) * (1 - x % 1) / 40_000) for x in rates)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = mixing.mix(docs, labels).toPandas()
+    rest = out.rate % 1
+    for d in mixing.DOMAINS:  # each domain's tokens in copies against those in rates, within what drawing allows
+        mass = out.n_tokens * out[f"p_{d}"]
+        assert abs((mass * (out.copies - out.rate)).sum()) <= 4 * math.sqrt((mass**2 * rest * (1 - rest)).sum()), d
+
+
 def test_only_ids_lets_all_wanted_rows_pass(spark):
     from veilmark.llm.common import only_ids
 

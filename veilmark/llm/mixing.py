@@ -20,7 +20,7 @@ from .quality_rules import word_list
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.9, "low": 0.06, "toxic": 0.04}
-BUCKETS, MAX_LABELLED, STEPS, TOLERANCE, SNAP = 1 << 16, 20_000, 40, 1e-6, 0.05
+BUCKETS, MAX_LABELLED, STEPS, TOLERANCE = 1 << 16, 20_000, 40, 1e-6
 
 
 def _bucketed(docs: DataFrame, *keys: str) -> DataFrame:
@@ -73,13 +73,19 @@ def _rate(steps: list[list[float]]) -> Column:
     return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, (F.col(f"p_{d}") * g[d] for d in DOMAINS))))
 
 
+def copies_of(rate: Column) -> Column:
+    """A whole number whose mean over documents (doc_id, h) of one rate is that rate, drawn by their hash."""
+    u = F.pmod(F.xxhash64("doc_id", "h", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
+
+
 def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, most: int = MAX_LABELLED, steps: int = STEPS) -> DataFrame:
     """doc_id, h, n_tokens, p_clean, p_low, p_toxic, rate, copies per distinct (doc_id, text) of df.
 
     Targets: weights times a total at which clean text keeps its own token count, so clean documents get rates
     near 1 and the others what their weight leaves. copies is the whole part of rate plus one where a hash of
-    the document falls under the fraction, fractions within SNAP of 0 or 1 being taken for it: a document whose
-    rate is 1 but for the classifier's doubt comes once. A null text is empty: no tokens, the priors. Rows equal in doc_id and
+    the document falls under the fraction, so the copies expected of each document are its rate, and those of
+    each domain meet its target as the rates do. A null text is empty: no tokens, the priors. Rows equal in doc_id and
     text share one row here (h is the text's hash). An empty table gives an empty one; other columns are ignored.
     """
     weights = weights or WEIGHTS
@@ -102,8 +108,6 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = Non
             break
         past.append(gap)
         now = tokens(_rate(past))
-    u = F.pmod(F.xxhash64("doc_id", "h", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    part = (F.col("rate") - F.floor("rate") - SNAP) / (1 - 2 * SNAP)
     rate = _rate(past)
     out = p.withColumn("rate", rate)
-    return out.select("doc_id", "h", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", (F.floor("rate") + (u < part).cast("int")).cast("int").alias("copies"))
+    return out.select("doc_id", "h", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", copies_of(F.col("rate")).alias("copies"))
