@@ -130,6 +130,15 @@ def test_near_duplicates_about_the_size_of_a_sketch(spark, percent):
     assert small[63] == {80: 49, 85: 53}[percent]
 
 
+def test_near_duplicates_of_each_row_of_a_repeated_doc_id(spark):
+    texts = [[f"t{k}_{i}" for i in range(90)] for k in range(5)]
+    near = [[*t[:89], "other"] for t in texts]
+    # doc_id 1 stands on three unlike rows and is the smallest of each class, 50 on two of which 10 has one
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (2, near[0]), (3, near[1]), (4, near[2]), (4, near[2]), (50, texts[3]), (50, texts[4]), (10, near[3]), (60, near[4]), (70, ["alone"])]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], TABLE), 85).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (10, 10, True), (50, 10, False), (60, 10, False), (70, 70, True)}
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 5), (10, 9), (10, 9)] + [(100, k) for k in range(101, 160)]
     got = {(r.id, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -189,10 +189,12 @@ def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
     docs = ids_and_texts(df)
     sk = cut(docs.mapInArrow(tidy(_sketches), "doc_id long, n long, fp1 long, fp2 long, sketch array<long>"))
     live = sk.where("doc_id IS NOT NULL AND n > 0")
-    classes = live.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes)
-    chosen = classes.groupBy("rep").agg(F.max(F.struct("fp1", "fp2")).alias("x")).select(F.col("rep").alias("doc_id"), "x.*")
-    reps = cut(live.join(chosen, ["fp1", "fp2", "doc_id"]).dropDuplicates(["fp1", "fp2", "doc_id"]).select(F.col("doc_id").alias("rep"), "fp1", "fp2", "n", "sketch"))
+    classes = cut(live.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id")))
+    # a class is named by its smallest doc_id; where that is the smallest of several classes, all but one get a hash for a name
+    chosen = cut(classes.groupBy("doc_id").agg(F.max(F.struct("fp1", "fp2")).alias("x")))
+    named = F.when(F.col("x") == F.struct("fp1", "fp2"), F.col("doc_id")).otherwise(F.xxhash64("fp1", "fp2", "doc_id"))
+    classes = cut(classes.join(chosen, "doc_id").select("fp1", "fp2", "doc_id", named.alias("rep")))
+    reps = cut(live.join(classes, ["fp1", "fp2", "doc_id"]).dropDuplicates(["fp1", "fp2", "doc_id"]).select("rep", "doc_id", "fp1", "fp2", "n", "sketch"))
 
     values = reps.select("rep", F.explode("sketch").alias("v"))
     # aggregates are written before they are joined on their own key: joined at once they'd share their shuffle
@@ -224,15 +226,16 @@ def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
     dealt = members.join(sets, members.rep == sets.id).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = dealt.select("g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "n", "comp", "block", "set")
     more = cut(dealt.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(tidy(_in_blocks(percent)), "a long, b long").distinct())
-    members = live.join(classes, ["fp1", "fp2"]).select("doc_id", "rep")
+    members = live.join(classes.drop("doc_id"), ["fp1", "fp2"]).select("doc_id", "rep")
     # a doc_id on several rows joins their classes
     ties = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     extra = members.join(ties.select("doc_id", "a"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     edges = cut(found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more).unionByName(extra).distinct())
     final = components(edges)
-    placed = members.distinct().join(final, members.rep == final.id, "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
-    # the representative of a class is its smallest doc_id, so the smallest representative is the smallest doc_id
-    of = placed.groupBy("doc_id").agg(F.min("c").alias("component_id"))
+    placed = cut(members.distinct().join(final, members.rep == final.id, "left").select("doc_id", F.coalesce("component", "rep").alias("c")))
+    # a component may be named by a hash: its smallest doc_id stands for it
+    smallest = cut(placed.groupBy("c").agg(F.min("doc_id").alias("component_id")))
+    of = placed.join(smallest, "c").select("doc_id", "component_id").distinct()
     out = sk.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -252,6 +255,6 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int)
 
 def _full_sets(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
     """(id, set) of the representatives in need. Of rows that repeat a doc_id, the fingerprint finds the one that stands for the class."""
-    own = reps.join(need, reps.rep == need.id, "left_semi").select(F.col("rep").alias("id"), "fp1", "fp2")
-    some = only_ids(docs, "doc_id", need.select("id"), _sets, "id long, fp1 long, fp2 long, set binary")
-    return some.join(own, ["id", "fp1", "fp2"]).select("id", "set").dropDuplicates(["id"])
+    own = cut(reps.join(need, reps.rep == need.id, "left_semi").select("rep", F.col("doc_id").alias("id"), "fp1", "fp2"))
+    some = only_ids(docs, "doc_id", own.select("id"), _sets, "id long, fp1 long, fp2 long, set binary")
+    return some.join(own, ["id", "fp1", "fp2"]).select(F.col("rep").alias("id"), "set").dropDuplicates(["id"])
