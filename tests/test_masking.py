@@ -235,3 +235,34 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.md").write_text("mail a@b.co")
     redact_stream(read_stream(spark, str(tmp_path / "in")), CONFIG, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r.redacted for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["mail (REDACTED)"]
+
+
+def test_verification_of_whole_seeded_texts(spark, monkeypatch):
+    import re
+
+    from veilmark.functions.model import MIN_MENTION
+    from veilmark.operators import verify
+    from veilmark.plans import queries
+    from veilmark.plans.redact import redact_texts
+
+    d = "/root/testdata/sf0.001"
+    done = redact_texts(queries.seeded(spark, d), queries.CONFIG)
+    rows = done.select("doc_id", "text", "redacted", "merged").collect()
+
+    def brute(column):
+        out = []
+        for r in rows:
+            for s in r.merged:
+                short = s.entity_type == "USERNAME_MENTION" and len(s.text) < MIN_MENTION
+                if not short and re.search(r"(?<!\w)" + re.escape(s.text) + r"(?!\w)", r[column]):
+                    out.append((r.doc_id, s.entity_type, s.start))
+        return sorted(out)
+
+    bad = sorted((r.doc_id, r.entity_type, r.start) for r in verify.leaks(done.withColumn("redacted", done.text), "merged").collect())
+    assert bad == brute("text") and len({t for _, t, _ in bad}) >= 10
+    assert verify.leaks(done, "merged").count() == 0 == len(brute("redacted"))
+    given = []
+    monkeypatch.setattr(queries, "redact_texts", lambda df, config: given.append(df) or redact_texts(df, config))
+    got = {r.run: r.leaks for r in queries.QUERIES["verification_leaks"](spark, d).collect()}
+    assert got == {0: 0, 1: len(rows)}
+    assert {r.text for r in given[0].select("text").collect()} == {r.text for r in rows}

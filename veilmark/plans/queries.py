@@ -337,9 +337,10 @@ def grounded_reports(spark, d):
 
 @query("verification_leaks", "SELECT 0 AS run, CAST(0 AS BIGINT) AS leaks UNION ALL SELECT 1, count(*) FROM customer")
 def verification_leaks(spark, d):
-    done = redact_texts(seeded(spark, d).withColumn("text", F.expr("substring_index(text, ' acct', 1)")), CONFIG)
+    done = redact_texts(seeded(spark, d), CONFIG)
     good = verify.leaks(done, "merged")
-    bad = verify.leaks(done.withColumn("redacted", F.col("text")), "merged")
+    # of what leaks from unmasked texts, the SQL counts the one e-mail address of each; a test counts the other types
+    bad = verify.leaks(done.withColumn("redacted", F.col("text")), "merged").where("entity_type = 'EMAIL'")
     return good.agg(F.count(F.lit(1)).alias("leaks")).selectExpr("0 AS run", "leaks").union(bad.agg(F.count(F.lit(1)).alias("leaks")).selectExpr("1 AS run", "leaks"))
 
 
