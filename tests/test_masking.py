@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from veilmark.functions import matching
 from veilmark.functions.masking import contiguous, hidden_ranges, mask, merge, redact
 from veilmark.functions.model import SPANS, EngineConfig
 from veilmark.operators import augment, identity, layout, structured, verify
@@ -33,11 +34,12 @@ def span(text, kind, a, z=None):
 def test_masks(spark):
     df = spark.createDataFrame([(*m, [span(m[0], m[1], 3)]) for m in MASKS], f"text string, kind string, want string, s {SPANS.simpleString()}")
     for r in df.select("*", mask(F.col("text"), F.col("kind")).alias("got"), hidden_ranges(F.col("s")[0]).alias("hidden")).collect():
-        assert r.got == r.want == structured.masked(r.text, r.kind)
+        assert r.got == r.want == matching.masked(r.text, r.kind)
         shown = list(r.text)
         for h in r.hidden:
             for i in range(h.start - 3, h.end - 3):
                 shown[i] = "x"
+        assert [(h.start, h.end) for h in r.hidden] == matching.hidden((r.text, r.kind, "regex", 3, 3 + len(r.text)))
         assert "".join(shown) == (r.want if r.kind != "EMAIL" else "x" * len(r.text))
 
 
@@ -234,7 +236,7 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("mail a@b.co")
     redact_stream(read_stream(spark, str(tmp_path / "in")), CONFIG, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert [r.redacted for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["mail (REDACTED)"]
+    assert [r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["mail (REDACTED)"]
 
 
 def test_verification_of_whole_seeded_texts(spark, monkeypatch):

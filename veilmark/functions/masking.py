@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .model import FULL, MASK, PLACEHOLDER, RANGES, SPANS
 from .patterns import ND
+from .spans import let
 
 
 def merge(spans: Column, strict: bool = False) -> Column:
@@ -17,13 +18,13 @@ def merge(spans: Column, strict: bool = False) -> Column:
     keyed = F.transform(spans, lambda s, i: F.struct(s.start.alias("start"), (-s.end).alias("neg"), i.alias("ord"), s.alias("s")))
     ordered = F.transform(F.array_sort(keyed), lambda x: x.s)
     none = F.array().cast(SPANS)
+    if not strict:
+        return F.when(F.size(spans) == 0, none).otherwise(let(ordered, _first_wins))
     start = F.struct(F.lit(-1).alias("cursor"), none.alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fits = s.start >= acc.cursor
         added = F.struct(s.end.alias("cursor"), F.concat(acc.out, F.array(s)).cast(SPANS).alias("out"))
-        if not strict:
-            return F.when(fits, added).otherwise(acc)
         last = F.element_at(acc.out, -1)
         wide = F.struct((F.concat(last.text, F.expr("''"))).alias("text"), F.lit("URL").alias("entity_type"), last.confidence.alias("confidence"), last.source.alias("source"), last.start.alias("start"), s.end.alias("end"))
         grown = F.struct(s.end.alias("cursor"), F.concat(F.slice(acc.out, 1, F.size(acc.out) - 1), F.array(wide)).cast(SPANS).alias("out"))
@@ -32,6 +33,26 @@ def merge(spans: Column, strict: bool = False) -> Column:
     return F.when(F.size(spans) == 0, none).otherwise(F.aggregate(ordered, start, step, lambda a: a.out))
 
 
+def _first_wins(ordered: Column) -> Column:
+    """Which spans stay, as a fold over small numbers only: places go to the last of several short lists, so none is copied often."""
+    few, lists = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    start = F.struct(F.lit(-1).alias("cursor"), F.lit(0).alias("i"), few.alias("last"), lists.alias("full"))
+
+    def step(acc: Column, s: Column) -> Column:
+        whole = F.size(acc.last) >= 64
+        fits = s.start >= acc.cursor
+        one = F.array(acc.i)
+        return F.struct(
+            F.when(fits, s.end).otherwise(acc.cursor).alias("cursor"),
+            (acc.i + 1).alias("i"),
+            F.when(fits & whole, one).when(fits, F.concat(acc.last, one)).otherwise(acc.last).cast("array<int>").alias("last"),
+            F.when(fits & whole, F.concat(acc.full, F.array(acc.last))).otherwise(acc.full).cast("array<array<int>>").alias("full"),
+        )
+
+    places = F.aggregate(ordered, start, step, lambda a: F.concat(F.flatten(a.full), a.last))
+    return F.transform(places, lambda i: F.get(ordered, i))
+
+
 def mask(text: Column, entity_type: Column) -> Column:
     """The text of one span as it is shown. An unknown type is an error."""
     n = F.length(text)
@@ -75,11 +96,8 @@ def hidden_ranges(span: Column) -> Column:
 
 def redact(text: Column, spans: Column, merged: bool = False) -> Column:
     """The text with every span masked. A null text stays null."""
-    use = spans if merged else merge(spans)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        return F.struct(F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at), mask(s.text, s.entity_type)).alias("out"), s.end.alias("at"))
-
-    done = F.aggregate(use, start, step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
+    gap = lambda use, s, i: F.coalesce(F.when(i > 0, F.get(use, i - 1).end), F.lit(0))
+    pieces = lambda use: F.transform(use, lambda s, i: F.concat(F.substring(text, gap(use, s, i) + 1, s.start - gap(use, s, i)), mask(s.text, s.entity_type)))
+    tail = lambda use: F.substring(text, F.coalesce(F.element_at(use, -1).end, F.lit(0)) + 1, F.length(text))
+    done = let(spans if merged else merge(spans), lambda use: F.concat(F.array_join(pieces(use), ""), tail(use)))
     return F.when(F.size(spans) == 0, text).otherwise(done)

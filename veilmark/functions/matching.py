@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from .model import ENTITY_TYPES
-from .patterns import DATES, PYTHON
+from .model import ENTITY_TYPES, FULL, MASK, PLACEHOLDER
+from .patterns import DATES, GATES, HOST, HOSTS, LABEL, MIN_LABELLED, MIN_NAME, NAME, OWNER, PYTHON, RESERVED, SSH
 
 _RE = {k: re.compile(p) for k, p in PYTHON.items()}
 _DATES = {k: re.compile(p) for k, p in DATES.items()}
-# a substring that every match has: texts without it skip the pattern
-_GATE = {"EMAIL": "@", "USERNAME_MENTION": "@", "SLACK_TOKEN": "x", "SLACK_WEBHOOK": "hooks.slack", "ATLASSIAN_API_TOKEN": "ATATT3", "ANTHROPIC_API_KEY": "sk-ant-", "OPENAI_API_KEY": "sk-", "JWT": "eyJ"}
-_DIGIT = re.compile(r"\d")
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d{4}-?\d{4}-?\d{4}")
+_PHONE_STARTS = re.compile(r"[+(\d]")
+_SSH, _LABEL, _NAME, _OWNER, _HOST = (re.compile(p) for p in (SSH, LABEL, NAME, OWNER, HOST))
 Found = tuple[str, str, str, int, int]  # text, entity type, source, start, end
 
 
@@ -31,31 +31,63 @@ def date_ranges(text: str, max_year: int) -> list[tuple[int, int]]:
     return out
 
 
+def _from(pattern: re.Pattern, starts: re.Pattern, text: str) -> Iterator[re.Match]:
+    """pattern.finditer(text) for a pattern whose matches begin where starts has one: the rest of the text is passed over fast."""
+    at = 0
+    while s := starts.search(text, at):
+        m = pattern.match(text, s.start())
+        if m:
+            yield m
+        at = m.end() if m else s.start() + 1
+
+
+def urls(text: str) -> tuple[list[re.Match], list[re.Match]]:
+    """URLs with a scheme, and all that start with www."""
+    return list(_RE["URL"].finditer(text)) if "://" in text else [], list(_RE["URL_WWW"].finditer(text)) if "www." in text.lower() else []
+
+
 def regex_core(text: str, max_year: int) -> list[Found]:
     out: list[Found] = []
-    digits = _DIGIT.search(text) is not None
     for kind in ENTITY_TYPES:
-        pattern = _RE.get(kind)
-        if pattern is None or _GATE.get(kind, "") not in text or kind in ("AWS_ACCOUNT_ID", "PHONE_NUMBER") and not digits:
+        pattern, gate = _RE.get(kind), GATES.get(kind)
+        if pattern is None or kind != "URL" and gate and not any(g in text for g in gate):
             continue
         if kind == "AWS_ACCOUNT_ID":
+            if "arn:aws" not in text and not _DIGITS.search(text):
+                continue
             for m in pattern.finditer(text):
                 g = "arn_id" if m["arn_id"] else "bare_id"
                 out.append((m[g], kind, "regex", *m.span(g)))
         elif kind == "PHONE_NUMBER":
-            hits = [m for m in pattern.finditer(text) if len(_DIGIT.findall(m.group())) >= 7]
+            hits = [m for m in _from(pattern, _PHONE_STARTS, text) if len(_DIGIT.findall(m.group())) >= 7]
             dates = date_ranges(text, max_year) if hits else []
             out += [(m.group(), kind, "regex", *m.span()) for m in hits if not any(m.start() < b and a < m.end() for a, b in dates)]
         elif kind == "URL":
-            full = [m for m in pattern.finditer(text)] if "://" in text else []
+            full, www = urls(text)
             inside = [m.span() for m in full]
-            www = [m for m in _RE["URL_WWW"].finditer(text) if not any(a <= m.start() < b for a, b in inside)]
+            www = [m for m in www if not any(a <= m.start() < b for a, b in inside)]
             out += [(m.group(), kind, "regex", *m.span()) for m in (*full, *www)]
         else:
             out += [(m.group(), kind, "regex", *m.span()) for m in pattern.finditer(text)]
     return out
 
 
+def discovered(text: str) -> list[str]:
+    """Names one text reveals, as operators.identity.discovered has them."""
+    out = []
+    full, www = urls(text)
+    for u in (*(m.group() for m in full), *("https://" + m.group() for m in www)):
+        host, owner = _HOST.match(u), _OWNER.match(u)
+        if host and owner and host[1].lower() in HOSTS:
+            out.append(owner[1])
+    if "git@" in text:
+        out += [m[2] for m in _SSH.finditer(text) if m[1].lower() in HOSTS]
+    out = [n for n in out if len(n) >= MIN_NAME and _NAME.match(n) and n.lower() not in RESERVED]
+    if "user" in (text.lower() if text.isascii() else text.casefold()):
+        out += [n for n in (m[1].rstrip(".") for m in _LABEL.finditer(text)) if len(n) >= MIN_LABELLED]
+    return out
+
+
 def known_names(text: str, names: Iterable[str]) -> list[Found]:
     out = []
     for name in names:
@@ -88,40 +120,76 @@ _SPECIAL = re.compile(r"\s*&\s*|\s*\+\s*|\s+and\s+|['’]", re.IGNORECASE)
 
 
 class CompanyMatcher:
-    """Curated names in folded text: connectors and apostrophes are interchangeable, a plural s is swallowed."""
+    """Curated names in folded text: connectors and apostrophes are interchangeable, a plural s is swallowed.
+
+    All names are looked for in one pass: an automaton over folded lower-case text finds the plain ones, and the
+    first literal part of each name with connectors or apostrophes, whose own pattern runs only where that stands.
+    """
 
     def __init__(self, names: Sequence[str]):
-        self.patterns: list[re.Pattern] = []
-        self.plain: list[str] = []
+        self.always: list[tuple[int, re.Pattern]] = []
+        plain: dict[str, list[int]] = {}
+        gated: dict[str, list[tuple[int, re.Pattern]]] = {}
+        order = 0
         for name in names:
             shorter = re.sub(r"^the\s+", "", name, count=1, flags=re.IGNORECASE)
             for variant in dict.fromkeys((name, shorter)):
-                folded = fold(variant)[0]
+                folded, order = fold(variant)[0], order + 1
                 cuts = list(_SPECIAL.finditer(folded))
                 if cuts:
-                    literal = [re.escape(x) for x in self._between(folded, cuts)]
+                    parts = self._between(folded, cuts)
                     joints = [_APOSTROPHE if m.group() in "'’" else _JOINER for m in cuts]
-                    body = "".join(x for pair in zip(literal, [*joints, ""], strict=True) for x in pair)
-                    self.patterns.append(re.compile(rf"(?<!\w){body}s?(?!\w)", re.IGNORECASE))
+                    body = "".join(x for pair in zip(map(re.escape, parts), [*joints, ""], strict=True) for x in pair)
+                    entry = (order, re.compile(rf"(?<!\w){body}s?(?!\w)", re.IGNORECASE))
+                    longest = max(parts, key=len)
+                    if longest and longest.isascii():
+                        gated.setdefault(longest.lower().replace("\u0131", "i"), []).append(entry)
+                    else:
+                        self.always.append(entry)
                 elif folded:
-                    self.plain.append(folded.lower())
+                    plain.setdefault(folded.lower(), []).append(order)
+        self.plain, self.gated = plain, gated
+        self.automaton = None
+        if len(plain) + len(gated) > 24:  # below, a search of its own for each is faster
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for word in {*plain, *gated}:
+                self.automaton.add_word(word, word)
+            self.automaton.make_automaton()
 
     @staticmethod
     def _between(text: str, cuts: list[re.Match]) -> list[str]:
         edges = [0, *(x for m in cuts for x in m.span()), len(text)]
         return [text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)]
 
+    def _places(self, lowered: str) -> dict[str, list[int]]:
+        """Where each plain name and each part of a gated one starts."""
+        out: dict[str, list[int]] = {}
+        if self.automaton is not None:
+            for end, word in self.automaton.iter(lowered):
+                out.setdefault(word, []).append(end + 1 - len(word))
+            return out
+        for word in {*self.plain, *self.gated}:
+            at = lowered.find(word)
+            while at >= 0:
+                out.setdefault(word, []).append(at)
+                at = lowered.find(word, at + 1)
+        return out
+
     def find(self, text: str) -> list[Found]:
         folded, index = fold(text)
         lowered = folded.lower()
-        spans = [m.span() for p in self.patterns for m in p.finditer(folded) if m.end() > m.start()]
-        for name in self.plain:
-            at = lowered.find(name)
-            while at >= 0:
-                end = self._end(folded, at, at + len(name))
+        if len(lowered) != len(folded):  # letters whose small form is longer: they stay as they are
+            lowered = "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in folded))
+        places = self._places(lowered.replace("\u0131", "i") if "\u0131" in lowered else lowered)
+        patterns = [*self.always, *(e for word in places for e in self.gated.get(word, ()))]
+        spans = [m.span() for _, p in sorted(patterns, key=lambda e: e[0]) for m in p.finditer(folded) if m.end() > m.start()]
+        for _, word in sorted((k, w) for w in places for k in self.plain.get(w, ())):
+            for at in places[word]:
+                end = self._end(folded, at, at + len(word)) if lowered.startswith(word, at) else 0
                 if end:
                     spans.append((at, end))
-                at = lowered.find(name, at + 1)
         return [(text[index[a] : index[z - 1] + 1], "COMPANY_NAME", "company_list", index[a], index[z - 1] + 1) for a, z in spans]
 
     @staticmethod
@@ -137,3 +205,73 @@ class CompanyMatcher:
 
 def detect(text: str, companies: CompanyMatcher, names: Iterable[str], max_year: int) -> list[Found]:
     return regex_core(text, max_year) + companies.find(text) + known_names(text, names)
+
+
+# The Python forms of functions.masking
+
+
+def merged(spans: Iterable[Found]) -> list[Found]:
+    out, end = [], -1
+    for s in sorted(spans, key=lambda s: (s[3], -s[4])):
+        if s[3] >= end:
+            out.append(s)
+            end = s[4]
+    return out
+
+
+def _shown(n: int) -> int:
+    """How many characters of a person's name of n stay."""
+    return 1 if n <= 4 else 2 if n <= 6 else 3 if n <= 8 else 4
+
+
+def masked(text: str, kind: str) -> str:
+    n = len(text)
+    if kind in FULL:
+        return PLACEHOLDER
+    if kind == "PHONE_NUMBER":
+        return _DIGIT.sub(MASK, text)
+    if kind == "AWS_ACCOUNT_ID":
+        shown = max(0, len(_DIGIT.findall(text)) - 4)
+        return _DIGIT.sub(MASK, text, count=shown) if shown else text
+    if kind == "AWS_ACCESS_KEY_ID":
+        return text if n <= 8 else text[:4] + MASK * (n - 8) + text[-4:]
+    if kind == "PERSON_NAME":
+        return text[: _shown(n)] + MASK * (n - _shown(n))
+    raise ValueError(f"no mask for entity type {kind}")
+
+
+def redacted(text: str, spans: Iterable[Found]) -> str:
+    """The text with every span masked; spans may overlap."""
+    out, at = [], 0
+    for t, kind, _, a, z in merged(spans):
+        out += [text[at:a], masked(t, kind)]
+        at = z
+    return "".join(out) + text[at:]
+
+
+def hidden(span: Found) -> list[tuple[int, int]]:
+    """Which of a span's characters are hidden, as ranges in its text's positions."""
+    text, kind, _, start, end = span
+    if kind in FULL:
+        return [(start, end)] if end > start else []
+    digits = [i for i, c in enumerate(text) if _DIGIT.match(c)]
+    if kind == "AWS_ACCOUNT_ID":
+        gone = digits[: max(0, len(digits) - 4)]
+    elif kind == "PHONE_NUMBER":
+        gone = digits
+    elif kind == "AWS_ACCESS_KEY_ID":
+        gone = list(range(4, len(text) - 4)) if len(text) > 8 else []
+    else:
+        gone = list(range(_shown(len(text)), len(text)))
+    out: list[tuple[int, int]] = []
+    for i in gone:
+        if out and out[-1][1] == start + i:
+            out[-1] = (out[-1][0], start + i + 1)
+        else:
+            out.append((start + i, start + i + 1))
+    return out
+
+
+def recoverable(needle: str, text: str) -> bool:
+    """The Python form of operators.verify.recoverable."""
+    return bool(needle) and needle in text and re.search(rf"(?<!\w){re.escape(needle)}(?!\w)", text) is not None

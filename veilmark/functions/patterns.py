@@ -35,8 +35,52 @@ DATES = {
     "compact": r"(?<!\d)(?P<year>\d{4})(?P<month>\d{2})(?P<day>\d{2})(?:T(?P<hour>\d{2})(?P<minute>\d{2})(?P<second>\d{2})?Z?)?(?!\d)",
     "time": r"(?<!\d)(?P<hour>\d{1,2})\.(?P<minute>\d{2})\.(?P<second>\d{2})(?!\d)",
 }
+#: What each match starts with, as a Java lookahead: tried before any look behind, it lets most positions go at once
+HEADS = {
+    "AWS_ACCOUNT_ID": r"(?=[a\p{Nd}])",
+    "AWS_ACCESS_KEY_ID": "(?=A)",
+    "PHONE_NUMBER": r"(?=[+(\p{Nd}])",
+    "USERNAME_MENTION": "(?=@)",
+    "URL": "(?=[hf])",
+    "URL_WWW": "(?=w)",
+    "SLACK_TOKEN": "(?=x)",
+    "SLACK_WEBHOOK": "(?=h)",
+    "ATLASSIAN_API_TOKEN": "(?=A)",
+    "GITHUB_TOKEN": "(?=g)",
+    "ANTHROPIC_API_KEY": "(?=s)",
+    "OPENAI_API_KEY": "(?=s)",
+    "NOTION_TOKEN": "(?=[sn])",
+    "JWT": "(?=e)",
+}
+#: Of these strings, every text with a match holds one
+GATES = {
+    "AWS_ACCESS_KEY_ID": ("ABIA", "ACCA", "AGPA", "AIDA", "AIPA", "AKIA", "ANPA", "ANVA", "APKA", "AROA", "ASCA", "ASIA"),
+    "EMAIL": ("@",),
+    "USERNAME_MENTION": ("@",),
+    "URL": ("://",),
+    "SLACK_TOKEN": ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-", "xapp-"),
+    "SLACK_WEBHOOK": ("hooks.slack.com/services/",),
+    "ATLASSIAN_API_TOKEN": ("ATATT3",),
+    "GITHUB_TOKEN": ("gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_"),
+    "ANTHROPIC_API_KEY": ("sk-ant-",),
+    "OPENAI_API_KEY": ("sk-",),
+    "NOTION_TOKEN": ("secret_", "ntn_"),
+    "JWT": ("eyJ",),
+}
 SSH = r"git@([A-Za-z0-9.-]+):([A-Za-z0-9][A-Za-z0-9-]{0,38})/"
 LABEL = r"(?i)\b(?:User|Username)\s*:\s*([A-Za-z0-9._@-]+)"
+# First path segments that are the platform's own pages, its hosts, and how long a name is at least
+RESERVED = (
+    "about", "account", "admin", "announcements", "api", "apps", "blog", "business", "codespaces", "collections", "contact", "copilot",
+    "customer-stories", "dashboard", "discussions", "education", "enterprise", "events", "explore", "features", "gist", "gists", "help", "home",
+    "issues", "join", "login", "logout", "marketplace", "new", "nonprofit", "notifications", "organizations", "orgs", "plans", "pricing", "privacy",
+    "pulls", "readme", "security", "settings", "site", "sponsors", "star", "stars", "support", "team", "terms", "topics", "trending", "watching",
+    "search",
+)
+HOSTS = ("github.com", "www.github.com")
+MIN_NAME, MIN_LABELLED = 3, 5
+NAME = r"^[A-Za-z0-9](?:-?[A-Za-z0-9])*$"
+OWNER, HOST = r"^[A-Za-z]+://[^/?#]*/+([^/?#]*)", r"^[A-Za-z]+://([^/?#]*)"
 SENSITIVE_KEY = r"(?i)account.?(id|number)|ssn|social.?security|passport|api.?key|secret|password|token|credential"
 TASK_ITEM = r"(?m)^([ \t]*)([-*+])\s\[([ xX])\]\s+(.*)$"
 
@@ -81,3 +125,10 @@ def java(pattern: str) -> str:
             continue
         i += 2
     return "".join(out)
+
+
+def searched(kind: str) -> str:
+    """The Java form of an entity type's pattern, for searching: behind its lookahead."""
+    pattern = java(PYTHON[kind])
+    flags, body = (pattern[:5], pattern[5:]) if pattern.startswith("(?iU)") else ("", pattern)
+    return f"{flags}{HEADS[kind]}(?:{body})" if kind in HEADS else pattern

@@ -1,37 +1,64 @@
 """Native detectors: a text column in, an array of spans out, no Python worker and no shuffle.
 
-Spark finds all matches or splits at them, but gives no offsets: a match starts after the gaps and matches before
-it, which a fold adds up. Lengths are in code points.
+Spark finds all matches but gives no offsets. One pass puts a mark on both sides of each match; between marks lie
+gaps and matches in turn, whose lengths add up to the offsets. Lengths are in code points.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .model import ENTITY_TYPES, SPANS
-from .patterns import DATES, ND, NOT_AFTER, NOT_AFTER_DIGIT, NOT_BEFORE, PYTHON, java
+from .patterns import DATES, GATES, ND, NOT_AFTER, NOT_AFTER_DIGIT, NOT_BEFORE, PYTHON, java, searched
 
 EMPTY = "CAST(array() AS array<struct<text:string,start:int,end:int>>)"
+SIDE, BLOCK = "\ufdd0", 64  # a code point that no text may hold; texts that do hold it go another way
 
 
-def matches(text: Column, pattern: str | Column) -> Column:
-    """All matches of a Java pattern that can't match empty, as (text, start, end). A null text has none."""
-    t = F.coalesce(text, F.lit(""))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
+def before(lengths: Column) -> Column:
+    """What the numbers before each one of an array add up to. Sums of whole blocks first, so the work grows but slowly per number."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def of(xs: Column) -> Column:
+        blocks = F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda j: total(F.slice(xs, j * BLOCK + 1, F.lit(BLOCK)))))
+        heads = lambda bs: F.transform(bs, lambda _, j: total(F.slice(bs, F.lit(1), j)))
+        inner = lambda i: total(F.slice(xs, i - i % BLOCK + 1, i % BLOCK))
+        return let(blocks, lambda bs: let(heads(bs), lambda hs: F.transform(xs, lambda _, i: F.get(hs, F.floor(i / BLOCK).cast("int")) + inner(i))))
+
+    return let(lengths, of)
+
+
+def matches(text: Column, pattern: str | Column, gate: tuple[str, ...] = ()) -> Column:
+    """All matches of a Java pattern that can't match empty, as (text, start, end). A null text has none.
+
+    Texts without any of the strings in gate are not searched.
+    """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    hits, gaps = F.regexp_extract_all(t, p, F.lit(0)), F.split(t, p, -1)
-    steps = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("gap"), F.length(h).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(EMPTY).alias("out"))
 
-    def add(s: Column, x: Column) -> Column:
-        a = s.at + x.gap
-        return F.struct((a + x.n).alias("at"), F.concat(s.out, F.array(F.struct(x.h.alias("text"), a.alias("start"), (a + x.n).alias("end")))).alias("out"))
+    def placed(parts: Column) -> Column:
+        odd = lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: F.struct(F.get(parts, i).alias("text"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(F.get(parts, i))).alias("end")))
+        return F.when(F.size(parts) < 3, F.expr(EMPTY)).otherwise(let(before(F.transform(parts, lambda x: F.length(x))), odd))
+
+    def interleaved(t: Column) -> Column:
+        hits, gaps = F.regexp_extract_all(t, p, F.lit(0)), F.split(t, p, -1)
+        return F.concat(F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.array(g, h))), F.slice(gaps, F.size(hits) + 1, F.lit(1)))
+
+    def found(t: Column) -> Column:
+        marked = F.split(F.regexp_replace(t, p, F.lit(f"{SIDE}$0{SIDE}")), SIDE, -1)
+        there = reduce(lambda a, b: a | b, (F.contains(t, F.lit(g)) for g in gate), F.lit(not gate))
+        return F.when(there, let(F.when(F.contains(t, F.lit(SIDE)), interleaved(t)).otherwise(marked), placed)).otherwise(F.expr(EMPTY))
 
-    return F.when(F.size(hits) == 0, F.expr(EMPTY)).otherwise(F.aggregate(steps, start, add, lambda s: s.out))
+    return let(F.coalesce(text, F.lit("")), found)
 
 
 def as_spans(found: Column, entity_type: str, source: str = "regex") -> Column:
@@ -65,7 +92,7 @@ def date_ranges(text: Column, max_year: int) -> Column:
         return (x == "") | number(x).between(low, high)
 
     def kept(shape: str, good: Callable[[Column], Column]) -> Column:
-        return F.filter(matches(text, java(DATES[shape])), lambda m: good(m.text))
+        return F.filter(matches(text, r"(?=\p{Nd})" + java(DATES[shape])), lambda m: good(m.text))
 
     def dated(shape: str, at: tuple[int, ...]) -> Column:
         y, mo, d, h, mi, s = at
@@ -79,7 +106,7 @@ def date_ranges(text: Column, max_year: int) -> Column:
 
 def account_ids(text: Column) -> Column:
     """Twelve digits, bare or in fours, or those inside a resource name."""
-    found = matches(text, java(PYTHON["AWS_ACCOUNT_ID"]))
+    found = matches(text, searched("AWS_ACCOUNT_ID"))
     inner = F.transform(found, lambda m: F.when(m.text.startswith("arn:"), F.struct(m.text.alias("text"), (m.end - 13).alias("start"), (m.end - 1).alias("end"))).otherwise(F.struct(m.text.alias("text"), m.start.alias("start"), m.end.alias("end"))))
     t = F.coalesce(text, F.lit(""))
     named = F.transform(inner, lambda m: F.struct(F.substring(t, m.start + 1, m.end - m.start).alias("text"), m.start.alias("start"), m.end.alias("end")))
@@ -88,16 +115,15 @@ def account_ids(text: Column) -> Column:
 
 def phones(text: Column, max_year: int) -> Column:
     """Phone shapes of seven or more digits that touch no date or time."""
-    dates = date_ranges(text, max_year)
-    found = F.filter(matches(text, java(PYTHON["PHONE_NUMBER"])), lambda m: F.regexp_count(m.text, F.lit(ND)) >= 7)
-    return as_spans(F.when(F.size(found) == 0, found).otherwise(F.filter(found, lambda m: ~F.exists(dates, lambda d: overlap(m, d)))), "PHONE_NUMBER")
+    found = F.filter(matches(text, searched("PHONE_NUMBER")), lambda m: F.regexp_count(m.text, F.lit(ND)) >= 7)
+    apart = lambda ms: F.when(F.size(ms) == 0, ms).otherwise(let(date_ranges(text, max_year), lambda dates: F.filter(ms, lambda m: ~F.exists(dates, lambda d: overlap(m, d)))))
+    return as_spans(let(found, apart), "PHONE_NUMBER")
 
 
 def urls(text: Column) -> Column:
     """URLs with a scheme, then www. ones that don't start inside those."""
-    full, www = matches(text, java(PYTHON["URL"])), matches(text, java(PYTHON["URL_WWW"]))
-    alone = F.filter(www, lambda w: ~F.exists(full, lambda u: (u.start <= w.start) & (w.start < u.end)))
-    return as_spans(F.concat(full, alone), "URL")
+    alone = lambda full: F.filter(matches(text, searched("URL_WWW")), lambda w: ~F.exists(full, lambda u: (u.start <= w.start) & (w.start < u.end)))
+    return as_spans(let(matches(text, searched("URL"), GATES["URL"]), lambda full: F.concat(full, alone(full))), "URL")
 
 
 def detector(entity_type: str, max_year: int = 2075) -> Callable[[Column], Column]:
@@ -105,8 +131,7 @@ def detector(entity_type: str, max_year: int = 2075) -> Callable[[Column], Colum
     special = {"AWS_ACCOUNT_ID": account_ids, "PHONE_NUMBER": lambda t: phones(t, max_year), "URL": urls}
     if entity_type in special:
         return special[entity_type]
-    pattern = java(PYTHON[entity_type])
-    return lambda text: as_spans(matches(text, pattern), entity_type)
+    return lambda text: as_spans(matches(text, searched(entity_type), GATES.get(entity_type, ())), entity_type)
 
 
 #: Entity types with a native detector, in order
@@ -115,7 +140,7 @@ NATIVE = tuple(t for t in ENTITY_TYPES if t in PYTHON)
 
 def regex_core(text: Column, max_year: int = 2075) -> Column:
     """All fourteen pattern detectors, concatenated in order."""
-    return F.concat(*(detector(t, max_year)(text) for t in NATIVE)).cast(SPANS)
+    return let(text, lambda t: F.concat(*(detector(k, max_year)(t) for k in NATIVE))).cast(SPANS)
 
 
 def known_names(text: Column, names: Column) -> Column:
@@ -123,7 +148,7 @@ def known_names(text: Column, names: Column) -> Column:
 
     def one(name: Column) -> Column:
         quoted = F.concat(F.lit(r"(?<![A-Za-z0-9_-])\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9_-])"))
-        return as_spans(matches(text, quoted), "USERNAME_MENTION")
+        return F.when(F.contains(text, name), as_spans(matches(text, quoted), "USERNAME_MENTION")).otherwise(as_spans(F.expr(EMPTY), "USERNAME_MENTION"))
 
     return F.flatten(F.transform(F.coalesce(names, F.array().cast("array<string>")), one))
 

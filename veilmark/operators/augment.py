@@ -6,16 +6,17 @@ network. A table of reports serves as well.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.masking import redact
+from ..functions import matching
 from ..functions.model import SPANS
 from ..functions.spans import grounded
 from ..session import ship
@@ -52,35 +53,58 @@ def with_retry(call: Callable[[], Reply], sleep: Callable[[float], None] = time.
     raise ValueError("attempts must be at least 1")
 
 
+class Asker:
+    """Asks a reporter, with retries. Once these run out it asks no more; blank text is never sent."""
+
+    def __init__(self, reporter: Callable[[str], Reply], sleep: Callable[[float], None] = time.sleep):
+        self.reporter, self.sleep, self.given_up = reporter, sleep, False
+
+    def ask(self, text: str | None) -> tuple[list[tuple[str, str]], int, int, int, str | None]:
+        """Reports, calls, input and output tokens, warning."""
+        if self.given_up or text is None or not text.strip():
+            return [], 0, 0, 0, "reporter given up" if self.given_up else None
+        try:
+            r = with_retry(lambda: self.reporter(text), self.sleep)
+            return list(r.reports), 1, r.input_tokens, r.output_tokens, "reply was cut off" if r.truncated else None
+        except Transient as e:
+            self.given_up = True
+            return [], 0, 0, 0, f"reporter given up: {e}"
+        except Exception as e:  # noqa: BLE001  any other failure of a plug-in is a warning of its row
+            return [], 0, 0, 0, f"{type(e).__name__}: {e}"
+
+
 def reporter_column(reporter: Callable[[str], Reply], sleep: Callable[[float], None] = time.sleep):
-    """A pandas UDF masked text -> reply. Once retries run out, a task asks no more; blank text is never sent.
+    """An Arrow UDF (text, spans) -> reply to the text with these spans masked, with an Asker of its own per task.
 
     Usage comes back in columns, to be summed; a task that Spark runs again counts once, as its rows do.
     """
     ship()
 
-    @F.pandas_udf(REPLY)
-    def ask(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        open_ = True
-        for texts in parts:
-            rows = []
-            for t in texts:
-                if not open_ or t is None or not t.strip():
-                    rows.append(([], 0, 0, 0, None if open_ else "reporter given up"))
-                    continue
-                try:
-                    r = with_retry(lambda t=t: reporter(t), sleep)
-                    rows.append(([{"text": a, "entity_type": b} for a, b in r.reports], 1, r.input_tokens, r.output_tokens, "reply was cut off" if r.truncated else None))
-                except Transient as e:
-                    open_ = False
-                    rows.append(([], 0, 0, 0, f"reporter given up: {e}"))
-                except Exception as e:  # noqa: BLE001  any other failure of a plug-in is a warning of its row
-                    rows.append(([], 0, 0, 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["reports", "calls", "input_tokens", "output_tokens", "warning"])
+    def shown(text: str | None, spans: list[dict] | None) -> str | None:
+        return text and matching.redacted(text, [(s["text"], s["entity_type"], s["source"], s["start"], s["end"]) for s in spans or ()])
+
+    @F.arrow_udf(REPLY)
+    def ask(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        asker = Asker(reporter, sleep)
+        for texts, spans in parts:
+            rows = [asker.ask(shown(t, s)) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)]
+            reports = pa.array([[{"text": a, "entity_type": b} for a, b in r[0]] for r in rows], pa.list_(pa.struct([("text", pa.string()), ("entity_type", pa.string())])))
+            numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
+            yield pa.StructArray.from_arrays([reports, *numbers, pa.array([r[4] for r in rows], pa.string())], REPLY.names)
 
     return ask
 
 
+def grounded_in(text: str, reports: list[tuple[str, str]], existing: list[matching.Found]) -> list[matching.Found]:
+    """The Python form of grounded_spans, for the pass over whole documents."""
+    out = []
+    for needle, kind in reports:
+        if kind in REPORTED and needle and needle in text:
+            hits = re.finditer(rf"(?<!\w){re.escape(needle)}(?!\w)", text)
+            out += [(needle, kind, "claude", *m.span()) for m in hits if not any(m.start() < z and a < m.end() for _, _, _, a, z in existing)]
+    return out
+
+
 def grounded_spans(text: Column, reports: Column, existing: Column) -> Column:
     """Spans of an array of reports (text, entity_type): right types only, literal word-bounded occurrences that touch no existing span."""
     known = F.filter(F.coalesce(reports, F.array().cast(REPORT)), lambda r: r.entity_type.isin(*REPORTED))
@@ -92,9 +116,9 @@ def augment(segments: DataFrame, reporter: Callable[[str], Reply] | None, text:
     nothing = {"calls": F.lit(0).cast("long"), "input_tokens": F.lit(0).cast("long"), "output_tokens": F.lit(0).cast("long"), "warning": F.lit(None).cast("string")}
     if reporter is None:
         return segments.withColumns(nothing)
-    asked = segments.withColumn("_masked", redact(F.col(text), F.col(spans))).withColumn("_reply", reporter_column(reporter)(F.col("_masked")))
+    asked = segments.withColumn("_reply", reporter_column(reporter)(F.col(text), F.col(spans)))
     out = asked.withColumn(spans, F.concat(F.col(spans), grounded_spans(F.col(text), F.col("_reply.reports"), F.col(spans))))
-    return out.withColumns({k: F.col(f"_reply.{k}") for k in nothing}).drop("_masked", "_reply")
+    return out.withColumns({k: F.col(f"_reply.{k}") for k in nothing}).drop("_reply")
 
 
 def usage_totals(segments: DataFrame) -> DataFrame:

@@ -5,38 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import LABEL, PYTHON, SSH, java
-from ..functions.spans import matches
-
-# First path segments that are the platform's own pages
-RESERVED = tuple(
-    """about account admin announcements api apps blog business codespaces collections contact copilot
-    customer-stories dashboard discussions education enterprise events explore features gist gists help home
-    issues join login logout marketplace new nonprofit notifications organizations orgs plans pricing privacy
-    pulls readme security settings site sponsors star stars support team terms topics trending watching
-    search""".split()
-)
-HOSTS = ("github.com", "www.github.com")
-MIN_NAME, MIN_LABELLED = 3, 5
-_NAME = r"^[A-Za-z0-9](?:-?[A-Za-z0-9])*$"
-
+from ..functions.patterns import GATES, HOST, HOSTS, LABEL, MIN_LABELLED, MIN_NAME, NAME, OWNER, RESERVED, SSH, java, searched
+from ..functions.spans import let, matches
 
 def _valid(name: Column) -> Column:
-    return (F.length(name) >= MIN_NAME) & name.rlike(_NAME) & ~F.lower(name).isin(*RESERVED)
+    return (F.length(name) >= MIN_NAME) & name.rlike(NAME) & ~F.lower(name).isin(*RESERVED)
 
 
 def discovered(text: Column) -> Column:
     """Array of names one text reveals, repeats included. A URL that can't be taken apart reveals none."""
-    urls = F.concat(F.transform(matches(text, java(PYTHON["URL"])), lambda m: m.text), F.transform(matches(text, java(PYTHON["URL_WWW"])), lambda m: F.concat(F.lit("https://"), m.text)))
-    owner = lambda u: F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*/+([^/?#]*)", 1)
-    host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z]+://([^/?#]*)", 1))
+    return let(text, _discovered)
+
+
+def _discovered(text: Column) -> Column:
+    urls = F.concat(F.transform(matches(text, searched("URL"), GATES["URL"]), lambda m: m.text), F.transform(matches(text, searched("URL_WWW")), lambda m: F.concat(F.lit("https://"), m.text)))
+    owner = lambda u: F.regexp_extract(u, OWNER, 1)
+    host = lambda u: F.lower(F.regexp_extract(u, HOST, 1))
     by_url = F.transform(F.filter(urls, lambda u: host(u).isin(*HOSTS) & _valid(owner(u))), owner)
-    remotes = F.transform(matches(text, SSH), lambda m: m.text)
+    remotes = F.transform(matches(text, "(?=g)" + SSH, ("git@",)), lambda m: m.text)
     ssh_host = lambda r: F.regexp_extract(r, SSH, 1)
     ssh_owner = lambda r: F.regexp_extract(r, SSH, 2)
     by_ssh = F.transform(F.filter(remotes, lambda r: F.lower(ssh_host(r)).isin(*HOSTS) & _valid(ssh_owner(r))), ssh_owner)
     label = lambda m: F.regexp_replace(F.regexp_extract(m.text, r"(?iU):[\s\x{1c}-\x{1f}]*([A-Za-z0-9._@-]+)$", 1), r"\.+$", "")
-    by_label = F.filter(F.transform(matches(text, java(LABEL)), label), lambda n: F.length(n) >= MIN_LABELLED)
+    by_label = F.filter(F.transform(matches(text, "(?iU)(?=u)" + java(LABEL).removeprefix("(?iU)")), label), lambda n: F.length(n) >= MIN_LABELLED)
     return F.concat(by_url, by_ssh, by_label)
 
 

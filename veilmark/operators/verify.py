@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.model import MIN_MENTION
 from ..functions.patterns import NOT_AFTER, NOT_BEFORE
@@ -73,6 +74,16 @@ def with_counted_status(documents: DataFrame, count: str, ignore_failure: bool =
     return documents.withColumns({"status": status, "reason": reason}).drop(count)
 
 
+def with_progress(results: DataFrame, key: str = "relative") -> DataFrame:
+    """(key, status, reason) with index and percent, by key: how far a batch was when each document was done.
+
+    The one global order is of three narrow columns; documents themselves are not moved.
+    """
+    order, every = Window.orderBy(key), Window.partitionBy(F.lit(0))
+    listed = results.select(key, "status", "reason").withColumn("index", F.row_number().over(order))
+    return listed.withColumn("percent", F.round(100 * F.col("index") / F.count(F.lit(1)).over(every)).cast("int"))
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
     """One row: succeeded, failed, total, exit_code (0 none failed, 2 some did, 1 all did or there were none)."""
     bad = F.count(F.when(F.col("status") == "failed", 1))

@@ -233,8 +233,7 @@ def json_leaves(spark, d):
 SELECT event_id AS doc_id, concat('{\n  "token": "(REDACTED)",\n  "mail": "(REDACTED)",\n  "kind": "', event_type, '",\n  "n": ', cast(user_id AS varchar), '\n}\n') AS value FROM events""")
 def json_redacted(spark, d):
     text = F.to_json(F.struct(F.lit("t").alias("token"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@x.org")).alias("mail"), F.col("event_type").alias("kind"), F.col("user_id").alias("n")))
-    names = F.lit(None).cast("array<string>")
-    return table(spark, d, "events").select(F.col("event_id").alias("doc_id"), structured.redact_json(CONFIG)(text, names).alias("o")).select("doc_id", "o.value")
+    return table(spark, d, "events").select(F.col("event_id").alias("doc_id"), structured.redact_json(CONFIG)(text).alias("o")).select("doc_id", "o.value")
 
 
 @query("sensitive_keys", r"""
@@ -254,8 +253,7 @@ def html_segments(spark, d):
 
 @query("html_redacted")
 def html_redacted(spark, d):
-    names = F.lit(None).cast("array<string>")
-    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), structured.redact_html(CONFIG)(F.col("html"), names).alias("o")).select("doc_id", "o.value", F.size("o.spans").alias("n_spans"), "o.error")
+    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), structured.redact_html(CONFIG)(F.col("html")).alias("o")).select("doc_id", "o.value", F.size("o.spans").alias("n_spans"), "o.error")
 
 
 @query("task_lists", """
