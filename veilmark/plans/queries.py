@@ -94,7 +94,8 @@ query("detect_email_pages", spans_sql("SELECT * FROM pages", _EMAIL, "page_id",
 query("detect_url_pages", spans_sql("SELECT * FROM pages", r"(?i)\b(?:https?|ftp)://[^\s<>\"')\]]+", "page_id", "url"))(lambda spark, d: exploded(table(spark, d, "pages"), "URL", "page_id", "url"))
 query("detect_mention", spans_sql(SEEDED, r" @[A-Za-z0-9][A-Za-z0-9-]{2,36}[A-Za-z0-9]\b").replace("SELECT doc_id, hit, CAST(first AS BIGINT) AS first", "SELECT doc_id, substr(hit, 2) AS hit, CAST(first + 1 AS BIGINT) AS first"))(lambda spark, d: exploded(seeded(spark, d), "USERNAME_MENTION"))
 query("detect_aws_access_key", spans_sql(SEEDED, "[A-Z0-9]+", where="length(hit) >= 20 AND regexp_matches(hit, '^(ABIA|ACCA|AGPA|AIDA|AIPA|AKIA|ANPA|ANVA|APKA|AROA|ASCA|ASIA)')"))(lambda spark, d: exploded(seeded(spark, d), "AWS_ACCESS_KEY_ID"))
-query("detect_aws_account_documents", spans_sql("SELECT * FROM documents", "[0-9]+", where="length(hit) = 12"))(lambda spark, d: exploded(table(spark, d, "documents"), "AWS_ACCOUNT_ID"))
+_ACCOUNTS = "concat(text, ' acct 1234-5678-', lpad(cast(doc_id % 10000 AS varchar(20)), 4, '0'), ' or ', lpad(cast(doc_id AS varchar(20)), 12, '7'), ' not 1234567890123')"
+query("detect_aws_account_documents", spans_sql(f"SELECT doc_id, {_ACCOUNTS} AS text FROM documents", "[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]+", where="length(hit) = 12 OR contains(hit, '-')"))(lambda spark, d: exploded(table(spark, d, "documents").selectExpr("doc_id", f"{_ACCOUNTS} AS text"), "AWS_ACCOUNT_ID"))
 query("detect_aws_account_seeded", spans_sql(SEEDED, "[0-9]+", where="length(hit) = 12"))(lambda spark, d: exploded(seeded(spark, d), "AWS_ACCOUNT_ID"))
 query("detect_phone_documents")(lambda spark, d: exploded(table(spark, d, "documents"), "PHONE_NUMBER"))
 query("detect_phone_seeded", spans_sql(SEEDED, r"\b555-[0-9]{3}-[0-9]{4}\b"))(lambda spark, d: exploded(seeded(spark, d), "PHONE_NUMBER").where("hit LIKE '555-%'"))
@@ -245,7 +246,12 @@ def sensitive_keys(spark, d):
     return keys.select("event_id", "key", structured.is_sensitive_key(F.col("key")).alias("sensitive"))
 
 
-@query("html_segments")
+@query("html_segments", r"""
+WITH h AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<meta[^>]*>|<!--.*?-->', '', 'gs'), '<[^>]*>|[^<]+') AS parts FROM pages),
+k AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: CASE WHEN NOT starts_with(x, '<') THEN concat('text_node ', replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&'))
+  WHEN contains(x, ' href="') THEN concat('uri_attr ', regexp_extract(x, ' href="([^"]*)"', 1)) END), lambda x: x IS NOT NULL) AS kept FROM h),
+e AS (SELECT doc_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM k)
+SELECT doc_id, CAST(i - 1 AS INT) AS seg_id, regexp_extract(kept[i], '^[a-z_]+', 0) AS kind, substr(kept[i], position(' ' IN kept[i]) + 1) AS text FROM e""")
 def html_segments(spark, d):
     found = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.explode(structured.html_segments("html")).alias("s"))
     return found.select("doc_id", "s.seg_id", "s.kind", "s.text")
