@@ -105,26 +105,34 @@ def test_near_duplicates_in_a_large_group(spark):
     check_components(spark, rows)
 
 
-def test_near_duplicates_with_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_duplicates_in_a_chain_and_a_template(spark, exact):
     r = random.Random(6)
     base = [f"w{i}" for i in range(90)]
     rows = []
     for i in range(60):  # a chain: each is near the one before, hardly any near the first
         base[r.randrange(90)] = f"n{i}"
         rows.append((i, " ".join(base)))
-    check_components(spark, rows)
+    page = [f"t{i}" for i in range(120)]
+    for i in range(150):  # pages of one template, most of them just not near one another
+        own = [f"o{i}_{k}" for k in range(r.randrange(2, 30))]
+        rows.append((500 + i, " ".join([*page, *own])))
+    want = brute_components(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, TABLE), 85, exact).collect()}
+    assert got == want
 
 
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates_about_the_size_of_a_sketch(spark, percent):
-    rows = []
-    for k, (n, m) in enumerate((n, m) for n in range(60, 67) for m in range(n, 81) if 100 * n >= percent * m):
-        for c in range(12 if n < 64 < m else 1):  # a text, and its copy with m - n words more: no third is near them
+    rows, linked = [], {}
+    for k, (n, m) in enumerate((n, m) for n in range(50, 81) for m in range(n, 91)):
+        for c in range(12 if n < 64 < m and 100 * n >= percent * m else 1):  # a text, and its copy with m - n words more: no third is near them
             w = [f"w{k}_{c}_{i}" for i in range(m + 4)]
-            rows += [(1000 * k + 2 * c, " ".join(w[: n + 4])), (1000 * k + 2 * c + 1, " ".join(w))]
+            at = 100 * k + 2 * c
+            rows += [(at, " ".join(w[: n + 4])), (at + 1, " ".join(w))]
+            linked[at + 1] = at if 100 * n >= percent * m else at + 1
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, TABLE), percent).collect()}
-    assert got == {i: i - i % 2 for i, _ in rows}
+    assert got == {i: linked.get(i, i) for i, _ in rows}
     small = near_dedup.fewest_of_small(percent)
     assert [small[n] for n in (10, 20, 40)] == [math.ceil(percent * n / 100) for n in (10, 20, 40)]
     assert small[63] == {80: 49, 85: 53}[percent]

@@ -106,7 +106,7 @@ def test_scratch_can_be_cleared(spark):
     from veilmark.llm.common import clear_scratch, cut, scratch_root
 
     assert cut(spark.range(3)).count() == 3
-    where = Path(scratch_root(spark).removeprefix("file://")) / "veilmark"
+    where = Path(scratch_root(spark).removeprefix("file://"))
     assert where.exists()
     clear_scratch(spark)
     assert not where.exists()

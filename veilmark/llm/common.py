@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,31 +9,20 @@ from pyspark.sql import functions as F
 
 from .. import session
 
-_own_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own_roots:
-            _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="veilmark-")
-        root = _own_roots[app]
-    return root.rstrip("/")
+scratch_root = session.scratch_root
 
 
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/veilmark/{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Removes all tables that cut() wrote to the shared folder. Only once the results that read them are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/veilmark")
+    """Removes all tables that cut() wrote for this application. Only once the results that read them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -15,9 +15,14 @@ How it stays linear where groups are hot:
 * In each list, all members are first compared with the list's most central member (the class whose
   values are the most frequent, mostly the original of the copies). What is linked becomes one
   component, found by alternating large and small stars.
-* Lists that still hold several components are joined into groups, and only members of different
-  components are compared, on full sets, in blocks of bounded size dealt by (group, block, block): no
-  link between components is lost, no pair is emitted unless it is one, and no list meets in one task.
+* Members of lists that still hold several components are listed once more, now by their full sets: under
+  the n - ceil(t*n) + 1 shingles that are rarest among these members, of which a link must share one, without
+  any chance of its not doing so. Pages of one template part here unless nearly all their text is the template's.
+  Again a hub comes first; then the members outside a list's largest component meet the list's others, but only
+  where size, place of the shared shingle and union sketch allow for a link. Pairs come from joins on the
+  shingle, which Spark can split; no group meets in one task, and no pair is made twice where both already
+  belong together.
+* With exact=True every class goes straight to the lists by full sets, and no step has a chance.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from . import hashing as H
 from .common import cut, ids_and_texts, only_ids, ship, text_slices, tidy
 from .components import components
 
-WORDS, K, BLOCK = 5, 64, 512
+WORDS, K = 5, 64
 _STEPS = tuple(H.U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -102,55 +107,14 @@ def _verifier(percent: int):
     return verify
 
 
-def _in_blocks(percent: int):
-    """Links between different components within each (group, block, block), exact on full sets."""
-    names = ["g", "bi", "bj", "rep", "n", "comp", "block"]
-
-    def links_of(ids, n, comp, block, sets):
-        """Shared shingles of one row with all others are counted over the postings of the group's shingles."""
-        first, last = block.min(), block.max()
-        left, right = np.flatnonzero(block == first), np.flatnonzero(block == last)
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(ids)), [len(s) for s in sets])
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        for i in left.tolist():
-            js = right[right > i] if first == last else right
-            js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
-            if len(js):
-                at = np.searchsorted(every, sets[i])
-                size = np.searchsorted(every, sets[i], side="right") - at
-                where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at, size)
-                both = np.bincount(owner[where], minlength=len(ids))[js]
-                for j in js[100 * both >= percent * (n[i] + n[js] - both)].tolist():
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
-
-    def run(batches):
-        held = None
-
-        def solve(rows, sets, final):
-            """Links of the whole groups among the rows, and the rows of the last group if more may follow."""
-            key = np.stack([rows[x] for x in names[:3]], axis=1)
-            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            out = []
-            for a, z in zip(bounds[:-1], bounds[1:] if final else bounds[1:-1]):
-                if z - a > 1:
-                    out += links_of(rows["rep"][a:z], rows["n"][a:z], rows["comp"][a:z], rows["block"][a:z], sets[a:z])
-            rest = None if final else ({x: rows[x][bounds[-2] :] for x in names}, sets[bounds[-2] :])
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"]), rest
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = {x: b.column(x).to_numpy(zero_copy_only=False) for x in names}
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in b.column("set")]
-            if held:
-                rows, sets = {x: np.concatenate([held[0][x], rows[x]]) for x in names}, [*held[1], *sets]
-            out, held = solve(rows, sets, False)
-            yield out
-        if held:
-            yield solve(*held, True)[0]
-
-    return run
+def _spread(batches):
+    """A row for each shingle of a set, with the other columns of its row."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            t = b.slice(at, 256)
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in t.column("set")]
+            take = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([*(t.column(c).take(take) for c in ("rep", "n", "comp")), pa.array(np.concatenate(sets))], ["rep", "n", "comp", "v"])
 
 
 def fewest_shared(percent: int, k: int = K, chance: float = 1e-9) -> int:
@@ -177,12 +141,14 @@ def fewest_of_small(percent: int, k: int = K) -> list[int]:
     return out
 
 
-def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 80, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df (doc_id, text), links at Jaccard >= percent / 100.
 
     Null texts are empty; a document without words has no shingles, is linked with nothing and is kept.
     Rows that repeat a doc_id are one node with the links of each. A null doc_id takes no part:
-    component_id is null and kept true. Ties: the smallest doc_id stands for a group. Other columns are ignored.
+    component_id is null and kept true. Ties: the smallest doc_id stands for a group. Other columns are ignored;
+    an empty table gives an empty one; a very long text is a large set, worked on whole.
+    A link is lost with a chance below 1e-9 at its listing and as much at the sketch filter; with exact, never.
     """
     spark = df.sparkSession
     ship(spark)
@@ -196,42 +162,17 @@ def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
     classes = cut(classes.join(chosen, "doc_id").select("fp1", "fp2", "doc_id", named.alias("rep")))
     reps = cut(live.join(classes, ["fp1", "fp2", "doc_id"]).dropDuplicates(["fp1", "fp2", "doc_id"]).select("rep", "doc_id", "fp1", "fp2", "n", "sketch"))
 
-    values = reps.select("rep", F.explode("sketch").alias("v"))
-    # aggregates are written before they are joined on their own key: joined at once they'd share their shuffle
-    # with the join, and Spark couldn't split a value that very many classes have
-    shared = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    # a sketch below K is the whole set, but a link's sketch may still lack some of it
-    least = F.coalesce(F.get(F.array(*map(F.lit, fewest_of_small(percent))), F.col("n").cast("int")), F.lit(fewest_shared(percent)))
-    mine = values.join(shared, "v").groupBy("rep").agg(F.sum("df").alias("central"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    mine = mine.join(reps.select("rep", "n"), "rep")
-    # values that no other class has are the rarest: they come first in the prefix of k - ceil(k/2) + 1
-    prefix = mine.select("rep", "n", "central", F.explode(F.slice("vs", 1, F.greatest(F.lit(0), F.size("vs") - least.cast("int") + 1))).alias("x"))
-    lists = cut(prefix.select("rep", "n", "central", F.col("x.v").alias("v"), F.col("x.df").alias("df")))
-
-    hubs = lists.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("neg"), "n")).alias("h")).select("v", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("hub_n"))
-    hubs = cut(hubs)
-    first = lists.join(hubs, "v").where(f"rep <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = cut(_verified(docs, reps, first, percent))
-    found = components(links)
-
-    placed = lists.join(found, lists.rep == found.id, "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("head")).where("lo < hi").select("v", "head")
-    mixed = cut(mixed)
-    open_ = cut(placed.join(mixed, "v").select("rep", "n", "comp", "head").distinct())
-    groups = components(open_.select(F.col("head").alias("a"), F.col("rep").alias("b")))
-    members = open_.select("rep", "n", "comp").distinct().join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep")
-    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    members = cut(members.join(sizes, "g").withColumn("block", F.expr("CAST(pmod(xxhash64(rep), nb) AS INT)")))
-    sets = _full_sets(docs, reps, members.select(F.col("rep").alias("id")))
-    dealt = members.join(sets, members.rep == sets.id).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    dealt = dealt.select("g", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "n", "comp", "block", "set")
-    more = cut(dealt.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(tidy(_in_blocks(percent)), "a long, b long").distinct())
+    if exact:
+        found = spark.createDataFrame([], "id long, component long")
+        open_ = reps.select("rep", "n", F.col("rep").alias("comp"))
+    else:
+        found, open_ = _by_sketches(docs, reps, percent)
+    edges = _by_sets(docs, reps, found, open_, percent, exact)
     members = live.join(classes.drop("doc_id"), ["fp1", "fp2"]).select("doc_id", "rep")
     # a doc_id on several rows joins their classes
     ties = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     extra = members.join(ties.select("doc_id", "a"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    edges = cut(found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more).unionByName(extra).distinct())
-    final = components(edges)
+    final = components(cut(edges.unionByName(extra).distinct()))
     placed = cut(members.distinct().join(final, members.rep == final.id, "left").select("doc_id", F.coalesce("component", "rep").alias("c")))
     # a component may be named by a hash: its smallest doc_id stands for it
     smallest = cut(placed.groupBy("c").agg(F.min("doc_id").alias("component_id")))
@@ -241,14 +182,78 @@ def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _first_of(values: DataFrame, keep: tuple[str, ...], fewest) -> DataFrame:
+    """(v, rep, keep but its last, central, place) of each class under its rarest values; fewest: how many of them a link shares.
+
+    values: (rep, keep, v); the last of keep is the number of values. Those that no other class has are the rarest:
+    they fill the first places and are listed nowhere.
+    """
+    # aggregates are written before they are joined on their own key: joined at once they'd share their shuffle
+    # with the join, and Spark couldn't split a value that very many classes have
+    shared = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    mine = values.join(shared, "v").groupBy("rep", *keep).agg(F.sum("df").alias("central"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))  # as many as a text has
+    alone = (F.col(keep[-1]) - F.size("vs")).cast("int")
+    listed = F.slice("vs", F.lit(1), F.greatest(F.lit(0), (F.col(keep[-1]) - fewest + 1 - alone).cast("int")))
+    return cut(mine.select("rep", *keep[:-1], "central", alone.alias("alone"), F.posexplode(listed).alias("at", "x")).select("rep", *keep[:-1], "central", (F.col("alone") + F.col("at")).alias("place"), F.col("x.v").alias("v")))
+
+
+def _hubs(lists: DataFrame) -> DataFrame:
+    """(v, hub, hub_n) of each list: its most central member, of several the one with the smallest name."""
+    top = lists.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("neg"), "n")).alias("h"))
+    return cut(top.select("v", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("hub_n")))
+
+
+def _as_edges(found: DataFrame) -> DataFrame:
+    return found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
+def _by_sketches(docs: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Components (id, component) of the links with hubs of lists by sketches, and the members (rep, n, comp) of lists with several."""
+    values = reps.select("rep", "n", F.size("sketch").cast("long").alias("k"), F.explode("sketch").alias("v"))
+    # a sketch below K is the whole set, but a link's sketch may still lack some of it
+    least = F.coalesce(F.get(F.array(*map(F.lit, fewest_of_small(percent))), F.col("n").cast("int")), F.lit(fewest_shared(percent)))
+    lists = _first_of(values, ("n", "k"), least)
+    first = lists.join(_hubs(lists), "v").where(f"rep <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    found = cut(components(cut(_verified(docs, reps, first, percent))))
+    placed = lists.join(found, lists.rep == found.id, "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    mixed = cut(placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v"))
+    return found, cut(placed.join(mixed, "v").select("rep", "n", "comp").distinct())
+
+
+def _by_sets(docs: DataFrame, reps: DataFrame, found: DataFrame, open_: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Edges (a, b) that join what found has joined and what else is linked among the members in open_."""
+    sets = cut(_full_sets(docs, reps, open_.select(F.col("rep").alias("id"))))
+    values = open_.join(sets, open_.rep == sets.id).select("rep", "n", "comp", "set").mapInArrow(tidy(_spread), "rep long, n long, comp long, v long")
+    # a link of n values shares percent of them at least
+    lists = _first_of(cut(values).select("rep", "n", "comp", F.col("n").alias("k"), "v"), ("n", "comp", "k"), F.ceil(F.lit(percent) * F.col("n") / 100))
+    near = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+    hubs = _hubs(lists).join(open_.select(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
+    first = lists.join(cut(hubs), "v").where(f"comp <> hub_comp AND {near}").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    links = cut(_verified(docs, reps, first, percent, sets, exact))
+    found = cut(components(cut(_as_edges(found).unionByName(links))))
+
+    now = cut(lists.join(found, lists.rep == found.id, "left").select("v", "rep", "n", "place", F.coalesce("component", "rep").alias("comp")))
+    parts = cut(now.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("m")))
+    main = cut(parts.groupBy("v").agg(F.max(F.struct("m", "comp")).alias("x"), F.count(F.lit(1)).alias("several")).where("several > 1").select("v", F.col("x.comp").alias("main")))
+    left = now.join(main, "v")
+    odd = left.where("comp <> main").select("v", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "place", "comp")))
+    # both places count from a set's rarest shingle: where this is the first shingle they share, they share no more than what follows it
+    most = "least(n - place, n_ - place_)"
+    fit = f"comp <> comp_ AND (comp = main OR rep < rep_) AND 100 * least(n, n_) >= {percent} * greatest(n, n_) AND {100 + percent} * ({most}) >= {percent} * (n + n_)"
+    second = left.join(odd, "v").where(fit).select(F.least("rep", "rep_").alias("a"), F.greatest("rep", "rep_").alias("b")).distinct()
+    return cut(_as_edges(found).unionByName(_verified(docs, reps, second, percent, sets, exact)))
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, sets: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """Of the pairs (a, b), those whose union's sketch allows for the similarity, confirmed on the full sets."""
     x, y = (reps.select(F.col("rep").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    pairs = cut(pairs)  # distinct by both, joined by one: in one stage they'd share a shuffle that can't be split
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    likely = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))).alias("both"))
-    likely = cut(likely.where(F.when(F.col("u") < K, 100 * F.col("both") >= percent * F.col("u")).otherwise(F.col("both") >= fewest_shared(percent))).select("a", "b"))
-    sets = cut(_full_sets(docs, reps, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()))
+    likely = cut(pairs)  # distinct by both, joined by one: in one stage they'd share a shuffle that can't be split
+    if not exact:
+        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
+        likely = likely.join(x, "a").join(y, "b").select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))).alias("both"))
+        likely = cut(likely.where(F.when(F.col("u") < K, 100 * F.col("both") >= percent * F.col("u")).otherwise(F.col("both") >= fewest_shared(percent))).select("a", "b"))
+    if sets is None:
+        sets = cut(_full_sets(docs, reps, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()))
     sa, sb = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     return likely.join(sa, "a").join(sb, "b").mapInArrow(tidy(_verifier(percent)), "a long, b long")
 
