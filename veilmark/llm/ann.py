@@ -1,10 +1,18 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Each vector's residual from the corpus mean is rotated by one random orthogonal matrix and kept as its
-signs, packed, with two scalars: its norm and the inner product of the unit residual with its own code. From
-these an inner product with a query is estimated without bias, with an error bound that holds but for a
-chance of about exp(-c0 * epsilon**2). Per block of rows, a query's k-th least upper bound is the bar; rows
-whose lower bound is under it are reranked on the original vectors in double precision.
+Each vector's residual from the corpus mean is padded with zeros to at least BITS numbers, rotated by one random
+orthogonal matrix and kept as its signs, packed, with two scalars: its norm and the inner product of the unit
+residual with its own code. From these an inner product with a query is estimated without bias, with an error bound
+that holds but for a chance of about exp(-c0 * epsilon**2). The estimate adds up table entries by the code's bytes, as
+they are packed; nothing is unpacked.
+
+* Equal vectors are one class, of which the k + 1 rows with the smallest vec_ids are kept: no query needs more. So a
+  vector that a third of the rows hold is searched for, and found, once.
+* Codes and queries meet in a grid: every part of the index with every block of queries, GRID codes and QUERIES
+  queries at most in each cell, by a shuffle of codes (a few dozen bytes) and queries. Original vectors stay where they are.
+* A cell gives, per query, the classes whose lower bound is under its k + 1st least upper bound. Per query, the
+  k + 1st least upper bound of all cells then leaves few: the survivors, whose original vectors are read, by
+  id, and compared in double precision.
 """
 
 from __future__ import annotations
@@ -18,12 +26,18 @@ from pyspark.sql.window import Window
 from . import hashing as H
 from .common import cut, ship, tidy
 
-EPSILON, BLOCK, QUERY_BYTES, SEED = 4.0, 2048, 16 << 20, 7
+EPSILON, BITS, GRID, QUERIES, SEED = 3.0, 512, 1 << 20, 1 << 12, 7
+
+
+def width_of(dim: int) -> int:
+    return -(-max(dim, BITS) // 8) * 8
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """The first dim rows of a random orthogonal matrix of width_of(dim) rows: what a padded vector is turned by."""
+    n = width_of(dim)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, n)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 def _vectors(col: pa.Array, dim: int) -> np.ndarray:
@@ -37,7 +51,7 @@ def _pack(batches):
         for i, v in zip(ids, b.column("embedding"), strict=True):
             if i is None or not v.is_valid or v.values.null_count or not len(v.values):
                 continue
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no negative zeros: equal vectors are equal bytes
             if np.isfinite(x).all() and x.any():
                 kept.append(i)
                 out.append(x.tobytes())
@@ -59,87 +73,124 @@ def _encode(dim: int, mean: np.ndarray, seed: int):
     def run(batches):
         turn = rotation(dim, seed)
         for b in batches:
-            x = _vectors(b.column("v"), dim) - mean
-            norm = np.linalg.norm(x, axis=1)
-            o = (x / np.where(norm > 0, norm, 1)[:, None]) @ turn
-            code = np.packbits(o > 0, axis=1)
-            fit = np.abs(o).sum(axis=1) / np.sqrt(dim)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(fit)], ["vec_id", "v", "code", "norm", "fit"])
+            for at in range(0, b.num_rows, 4096):
+                t = b.slice(at, 4096)
+                x = _vectors(t.column("v"), dim) - mean
+                norm = np.linalg.norm(x, axis=1)
+                o = (x / np.where(norm > 0, norm, 1)[:, None]) @ turn
+                fit = np.abs(o).sum(axis=1) / np.sqrt(turn.shape[1])
+                yield pa.RecordBatch.from_arrays([t.column("c"), pa.array([x.tobytes() for x in np.packbits(o > 0, axis=1)], pa.binary()), pa.array(norm), pa.array(fit)], ["c", "code", "norm", "fit"])
 
     return tidy(run)
 
 
-def _search(shared, dim: int, mean: np.ndarray, seed: int, k: int, epsilon: float):
+def products(turned: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Inner products of queries with the signs that codes stand for, by one table of 256 sums per query and code byte."""
+    signs = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1).astype(np.float32)  # byte -> eight signs
+    out = np.zeros((len(turned), len(codes)), np.float32)
+    for k in range(codes.shape[1]):
+        out += np.take(turned[:, 8 * k : 8 * k + 8] @ signs.T, codes[:, k], axis=1)
+    return out
+
+
+def bounds(turned: np.ndarray, far: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the squared distance of each query to each code's vector."""
+    n = turned.shape[1]
+    fit = np.maximum(fit, 1e-9)
+    dot = products(turned, codes) / np.sqrt(n) * (norm / fit)
+    slack = epsilon * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(n - 1) * norm
+    both = norm**2 + far[:, None] ** 2
+    wide = 2 * slack * far[:, None] + 1e-5 * both
+    return both - 2 * dot - wide, both - 2 * dot + wide
+
+
+def _cell(dim: int, mean: np.ndarray, seed: int, k: int, epsilon: float):
+    """Of one cell: (q, c, lower, upper) of the classes whose lower bound is under the query's k-th least upper bound here."""
+    names = ["q", "c", "lower", "upper"]
+
+    def run(key, index: pa.Table, queries: pa.Table) -> pa.Table:
+        nothing = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names)
+        if not index.num_rows or not queries.num_rows:
+            return nothing
+        q, c = queries["q"].to_numpy(), index["c"].to_numpy()
+        rest = _vectors(queries["v"], dim) - mean
+        far, turned = np.linalg.norm(rest, axis=1), (rest @ rotation(dim, seed)).astype(np.float32)
+        codes = H.buffers(index["code"])[0].reshape(len(c), -1)
+        norm, fit = index["norm"].to_numpy(), index["fit"].to_numpy()
+        out = []
+        for a in range(0, len(q), 128):
+            mine = slice(a, min(a + 128, len(q)))
+            bar, kept = np.full(mine.stop - a, np.inf), []
+            for b in range(0, len(c), 4096):
+                part = slice(b, min(b + 4096, len(c)))
+                lower, upper = bounds(turned[mine], far[mine], codes[part], norm[part], fit[part], epsilon)
+                if upper.shape[1] >= k:
+                    bar = np.minimum(bar, np.partition(upper, k - 1, axis=1)[:, k - 1])
+                i, j = np.nonzero(lower <= bar[:, None])
+                kept.append((i, b + j, lower[i, j], upper[i, j]))
+            i, j, lower, upper = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.lexsort((upper, i))
+            place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+            last = order[place == k - 1]
+            bar[i[last]] = np.minimum(bar[i[last]], upper[last])
+            good = lower <= bar[i]
+            out.append((q[a + i[good]], c[j[good]], lower[good], upper[good]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+
+    return run
+
+
+def _distances(dim: int):
     def run(batches):
-        ids, packed = shared.value
-        queries = np.frombuffer(packed, "<f8").reshape(-1, dim)
-        ids = np.frombuffer(ids, "<i8")
-        rest = queries - mean
-        far = np.linalg.norm(rest, axis=1)
-        turned = (rest @ rotation(dim, seed)).astype(np.float32)
-        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                t = b.slice(at, BLOCK)
-                x, mine = _vectors(t.column("v"), dim), t.column("vec_id").to_numpy()
-                bits = np.unpackbits(H.buffers(t.column("code"))[0].reshape(len(x), -1), axis=1, count=dim)
-                norm, fit = t.column("norm").to_numpy(), np.maximum(t.column("fit").to_numpy(), 1e-9)
-                signs = bits.astype(np.float32) * 2 - 1
-                for q0 in range(0, len(ids), 256):
-                    qs = slice(q0, min(q0 + 256, len(ids)))
-                    dot = (turned[qs] @ signs.T).astype(np.float64) / np.sqrt(dim) / fit * norm
-                    slack = epsilon * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(dim - 1, 1)) * norm
-                    base = norm**2 + far[qs, None] ** 2 - 2 * dot
-                    width = 2 * slack * far[qs, None] + 1e-6 * (norm**2 + far[qs, None] ** 2)
-                    own = ids[qs, None] == mine
-                    upper = np.where(own, np.inf, base + width)
-                    bar = np.minimum(np.partition(upper, k - 1, axis=1)[:, k - 1] if len(x) > k else np.inf, best_d[qs, -1] ** 2 * (1 + 1e-9))
-                    qi, xi = np.nonzero((base - width <= bar[:, None]) & ~own)
-                    d = np.sqrt(((queries[q0 + qi] - x[xi]) ** 2).sum(axis=1))
-                    order = np.lexsort((mine[xi], d, qi))
-                    qi, xi, d = qi[order], xi[order], d[order]
-                    place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-                    top = place < k
-                    new_d, new_i = np.full((qs.stop - q0, k), np.inf), np.full((qs.stop - q0, k), np.iinfo(np.int64).max)
-                    new_d[qi[top], place[top]], new_i[qi[top], place[top]] = d[top], mine[xi[top]]
-                    both_d, both_i = np.concatenate([best_d[qs], new_d], axis=1), np.concatenate([best_i[qs], new_i], axis=1)
-                    order = np.lexsort((both_i, both_d), axis=1)[:, :k]
-                    best_d[qs], best_i[qs] = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
-        q, r = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_i[q, r]), pa.array(best_d[q, r])], ["query_id", "vec_id", "score"])
+            x, y = _vectors(b.column("v"), dim), _vectors(b.column("w"), dim)
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("q", "c", "least")), pa.array(np.sqrt(np.cumsum((x - y) ** 2, axis=1)[:, -1]))], ["q", "c", "least", "score"])
 
     return tidy(run)
 
 
-def nearest(df: DataFrame, every: int = 100, k: int = 10, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
+def nearest(df: DataFrame, every: int = 100, k: int = 10, epsilon: float = EPSILON, seed: int = SEED, grid: int = GRID) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row whose vec_id is divisible by every.
 
-    score is the Euclidean distance of the original vectors; ties go to the smaller vec_id; a query's own
-    vec_id is no candidate. Rows without vec_id, null, empty or zero vectors, vectors with null or non-finite
-    components, and vectors of another length than most rows have take no part. Repeated rows are candidates
-    each; a repeated query counts once. Fewer candidates than k are all returned; other columns are ignored.
-
-    Queries go to the rows in slices of at most QUERY_BYTES, so what is broadcast is bounded at any size, and
-    every slice reads the index once without shuffling it. A task returns k rows per query of its slice.
+    score is the Euclidean distance of the original vectors; ties go to the smaller vec_id; a query's own row is no
+    candidate. Rows without vec_id, null, empty or zero vectors, vectors with null or non-finite components, and
+    vectors of another length than most rows have take no part. Repeated rows are queries and candidates each, so
+    rows that share a vec_id have each k results, and are one another's candidates. Fewer candidates than k are all
+    returned; an empty table gives an empty one; other columns are ignored.
     """
     spark = df.sparkSession
     ship(spark)
-    valid = cut(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(tidy(_pack), "vec_id long, dim int, v binary"))
+    valid = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(tidy(_pack), "vec_id long, dim int, v binary")
+    valid = cut(valid.withColumn("row", F.monotonically_increasing_id()))
     most = valid.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = most.dim
     valid = valid.where(F.col("dim") == dim)
-    total = valid.mapInArrow(_sums(dim), "n long, s array<double>").select("n", F.posexplode("s").alias("i", "x")).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("m")).orderBy("i").collect()
-    mean = np.array([r.m for r in total])
-    index = cut(valid.mapInArrow(_encode(dim, mean, seed), "vec_id long, v binary, code binary, norm double, fit double"))
-    queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.first("v").alias("v"))
-    slices = max(1, -(-queries.count() * (8 * dim + 8) // QUERY_BYTES))
-    found = None
-    for s in range(slices):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s).collect()
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in part], "<i8").tobytes(), b"".join(bytes(r.v) for r in part)))
-        one = index.mapInArrow(_search(shared, dim, mean, seed, k, epsilon), "query_id long, vec_id long, score double")
-        found = one if found is None else found.union(one)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    # the k + 1 first rows of each class of equal vectors; their number is cut before the shuffle too
+    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))
+    members = cut(valid.select("v", "vec_id", "row").withColumn("place", first).where(F.col("place") <= k + 1))
+    classes = members.where("place = 1").select(F.col("row").alias("c"), "v", F.col("vec_id").alias("least"))
+    total = classes.mapInArrow(_sums(dim), "n long, s array<double>").select("n", F.posexplode("s").alias("i", "x")).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("m")).orderBy("i").collect()
+    mean = np.array([r.m for r in total])  # of the classes, so that one common vector doesn't draw it
+    index = cut(classes.mapInArrow(_encode(dim, mean, seed), "c long, code binary, norm double, fit double"))
+    asked = valid.where(F.col("vec_id") % every == 0).select("v", F.col("row").alias("own"), F.col("vec_id").alias("query_id"))
+    asked = cut(asked.join(classes.select("v", F.col("c").alias("q")), "v").select("own", "query_id", "q"))
+    queries = cut(classes.join(asked.select("q").distinct(), F.col("c") == F.col("q")).select("q", "v"))
+    n, m = index.count(), queries.count()
+    parts, blocks = max(-(-n // grid), min(spark.sparkContext.defaultParallelism, -(-n // 4096)), 1), max(1, -(-m // QUERIES))
+    at = lambda c, p: F.pmod(F.xxhash64(c), F.lit(p)).cast("int")
+    left = index.withColumn("part", at("c", parts)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.withColumn("block", at("q", blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    near = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_cell(dim, mean, seed, k + 1, epsilon), "q long, c long, lower double, upper double")
+    near = cut(near)
+    low = near.select("q", "upper").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("upper"))).where(F.col("place") <= k + 1)
+    bars = cut(low.groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.max("upper")).otherwise(float("inf")).alias("bar")))
+    left = near.join(bars, "q").where("lower <= bar").select("q", "c").join(classes, "c")
+    exact = left.join(queries.withColumnRenamed("v", "w"), "q").select("q", "c", "least", "v", "w").mapInArrow(_distances(dim), "q long, c long, least long, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("score", "least"))
+    top = cut(exact.withColumn("place", place).where(F.col("place") <= k + 1).select("q", "c", "score"))
+    rows = members.select("vec_id", "row", "v").join(classes.select("v", "c"), "v").select("c", "vec_id", "row")
+    found = asked.join(top, "q").join(rows, "c").where("row <> own")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy("score", "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -142,7 +142,17 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BI
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
+OP8_SQL = r"""
+WITH e AS (
+  SELECT vec_id, v, row_number() OVER () AS r FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL) x
+  WHERE len(list_filter(v, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(v, lambda y: y <> 0)) > 0),
+d AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.r <> q.r)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
+    "op8_nearest": OP8_SQL,
     "op4_near_duplicates": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
     "op7_exact_substring": OP7_SQL,
