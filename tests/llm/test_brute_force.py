@@ -186,6 +186,16 @@ def test_exact_substrings(spark, hot):
     assert sorted(tuple(x) for x in got.drop("kept").collect()) == brute_removed(rows)
 
 
+def test_ranks_are_those_of_sorted_strings():
+    r = np.random.default_rng(2)
+    for n, length in ((600, 200), (300, 20), (50, 5), (40, 1), (10, 20), (0, 3), (700, 37)):
+        x = r.integers(97, 99, n).astype(np.uint8)
+        x[n // 2 :] = x[: n - n // 2]
+        each = [x[i : i + length].tobytes() for i in range(n - length + 1)]
+        order = {s: k for k, s in enumerate(sorted(set(each)))}
+        assert exact_substring.ranks(x, length).tolist() == [order[s] for s in each]
+
+
 def test_exact_substrings_on_documents(spark, docs):
     some = docs[:120]
     got = exact_substring.exact_substring_dedup(spark.createDataFrame(some, TABLE)).collect()
@@ -329,14 +339,45 @@ def test_nearest(spark):
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2), (0, 3), (2, 0), (2, 1), (2, 3)]
 
 
-def test_nearest_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(ann, "QUERY_BYTES", 2000)
+def test_nearest_of_repeated_rows(spark):
+    g = np.random.default_rng(8)
+    rows = [(i // 2, g.normal(size=8).astype(np.float32).tolist()) for i in range(120)] + [(30, [1.0] * 8)] * 14 + [(7, [1.0] * 8)] * 3
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q % 10 == 0:  # each row is a query of its own, and every other row its candidate
+            d = sorted((round(math.sqrt(sum((a - b) ** 2 for a, b in zip(v, w))), 9), j) for k, (j, w) in enumerate(rows) if k != at)[:10]
+            want += [(q, r + 1, j, x) for r, (x, j) in enumerate(d)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), every=10).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
+def test_nearest_in_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", 7)
     g = np.random.default_rng(4)
     rows = [(i, g.normal(size=16).astype(np.float32).tolist()) for i in range(200)]
-    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10, grid=30).collect())
     assert got == brute_nearest(rows, 10, 10)
 
 
+def test_recall_and_work_of_the_codes():
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), float)
+    mean, turn = x.mean(axis=0), ann.rotation(64)
+    rest = x - mean
+    norm = np.linalg.norm(rest, axis=1)
+    o = rest / norm[:, None] @ turn
+    codes, fit = np.packbits(o > 0, axis=1), np.abs(o).sum(axis=1) / np.sqrt(turn.shape[1])
+    q = slice(0, 200)
+    lower, upper = ann.bounds((rest[q] @ turn).astype(np.float32), norm[q], codes, norm, fit, ann.EPSILON)
+    true = ((x[q, None] - x[None]) ** 2).sum(axis=2)
+    assert np.mean((lower <= true) & (true <= upper)) > 0.995
+    bar = np.sort(upper, axis=1)[:, 10]
+    nearest = np.argsort(true, axis=1)[:, :11]
+    kept = lower <= bar[:, None]
+    assert np.take_along_axis(kept, nearest, 1).mean() > 0.999 and kept.mean() < 0.25
+
+
 # tokenizers
 
 BITS = ["a", "b", "th", "e", " ", "  ", "   ", "\n", "ing", "▁", "é", "😀", "ж", "中", "\t", "\r", "\x00", "0", "99", ".", "...", "ß", "Qu", "​", "==", "-", "//", "#", "<|endoftext|>", "'s", "'", "\u0085", " "]

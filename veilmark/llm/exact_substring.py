@@ -1,21 +1,20 @@
 """Removal of byte strings that occur more than once, by prefix-free parsing.
 
-The corpus order that suffix arrays of dictionary and parse would give is needed here only to a depth of
-LENGTH bytes: two neighbours in it share LENGTH bytes or they don't. So ranks are kept as classes of equal
-LENGTH-byte prefixes, and every step is a shuffle by class instead of one global order.
-
 * Parse: a rolling hash of TRIGGER bytes; the least one in each LENGTH-byte window is the window's trigger.
   Equal windows have the same trigger at the same place, wherever they are, and every window has one (a
   residue test would leave windows without). Neighbouring windows of one trigger are a phrase.
-* Dictionary: phrases with the bytes their windows reach (PHRASE = start, bytes, place of the trigger),
-  each kept once. A phrase found twice is repeated in all its windows: highly repetitive text ends here,
+* Dictionary: phrases with the bytes their windows reach, each kept once and known by a cryptographic digest of
+  its bytes (BLAKE2b). A phrase found twice is repeated in all its windows: highly repetitive text ends here,
   whatever its length and however many its copies.
-* Phrases whose trigger stands in several dictionary entries: only there can a window be repeated though
-  its phrase is not. Their bytes (about 400 each) meet by trigger and their windows are grouped. Triggers
-  with more than HOT entries are dealt by the single window instead, so no task gets an unbounded group.
-
-All classes are 128-bit hashes but for windows under one trigger, which are 64-bit. Documents never share
-a window, since windows end at the document's end.
+* Suffix array of the dictionary, to LENGTH bytes: suffixes are ranked by 8 bytes, and ranks of ranks double
+  that until LENGTH is reached. Neighbours in that order with one rank share LENGTH bytes, compared byte for byte and by
+  no hash. Only suffixes under one trigger can be equal, so the order is made per trigger, of phrases whose trigger
+  stands in several entries of the dictionary, and no global sort is needed.
+* The parse enters the corpus order by the reach of the phrases: what follows a phrase within LENGTH bytes is part
+  of its entry, so equal entries are equal to that depth in the order of the parse as well.
+* Triggers with more than HOT entries are dealt by the single window, by its bytes, so no task gets an unbounded group.
+
+Documents never share a window, since windows end at the document's end.
 """
 
 from __future__ import annotations
@@ -30,24 +29,34 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .common import cut, ids_and_texts, ship, tidy
 
-LENGTH, TRIGGER, HOT = 200, 32, 20_000
-_inverse: dict = {}
-
+LENGTH, TRIGGER, HOT = 200, 32, 2_000
 
-def _inverses(n: int, base: np.uint64) -> np.ndarray:
-    return H.powers(n, H.U(pow(int(base), -1, 1 << 64)))
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two int64 for the bytes of each span: a row of 128 bits of BLAKE2b."""
+    view, blake = memoryview(data), hashlib.blake2b
+    joined = b"".join([blake(view[a:z], digest_size=16).digest() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(joined, "<i8").reshape(-1, 2)
 
-class Sums:
-    """Hashes of any byte spans of one buffer, from prefix sums."""
 
-    def __init__(self, data: np.ndarray, base: np.uint64):
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(H.BYTE[data] * H.powers(len(data), base), out=self.total[1:])
-        self.inverse = _inverses(len(data) + 1, base)
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return H.mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+def ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each string of length bytes in data among all of them, equal strings having one rank: a suffix array cut at length."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    size = 1
+    while size < 8 and size * 2 <= length:
+        size *= 2
+    key = np.zeros(len(data) - size + 1, np.uint64)
+    for k in range(size):
+        key = key << H.U(8) | data[k : len(data) - size + 1 + k]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    while size < length:
+        step = min(size, length - size)  # the last step overlaps
+        m = len(rank) - step
+        rank = np.unique(rank[:m] << 32 | rank[step : step + m], return_inverse=True)[1].astype(np.int64)
+        size += step
+    return rank[:n]
 
 
 def parse(data: np.ndarray, offs: np.ndarray, length: int = LENGTH):
@@ -94,12 +103,12 @@ def _phrases(length: int):
             data, offs = H.buffers(b.column("text"))
             for i, j in H.chunks(offs):
                 part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                row, first, last, place, r = parse(part, o, length)
-                s1, s2 = (Sums(part, base).of(first, last + length) ^ H.mix((place - first).astype(np.uint64)) for base in (H.BASE, H.BASE2)) if len(first) else (r, r)
+                row, first, last, _, r = parse(part, o, length)
+                s = digests(part, first, last + length)
                 starts = np.searchsorted(row, np.arange(len(o)))
                 number = np.arange(len(row)) - starts[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array(number.astype(np.int32)), pa.array(r.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))],
+                    [pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array(number.astype(np.int32)), pa.array(r.view(np.int64)), pa.array(s[:, 0]), pa.array(s[:, 1])],
                     ["d", "row_id", "k", "trigger", "s1", "s2"],
                 )
 
@@ -130,13 +139,11 @@ def _texts(length: int):
     return tidy(run)
 
 
-def _window_hashes(blobs: pa.Array, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, offset and hash of each window of each blob."""
+def _window_ranks(blobs: pa.Array, windows: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each window of each blob, blob by blob."""
     data, offs = H.buffers(blobs)
-    owner = np.repeat(np.arange(len(windows)), windows)
     offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    h = H.mix(H.windows(H.BYTE[data], length))
-    return owner, offset, h[offs[:-1][owner] + offset]
+    return ranks(data, length)[np.repeat(offs[:-1], windows) + offset]
 
 
 def _packed(marks: list[np.ndarray]) -> pa.Array:
@@ -148,17 +155,8 @@ def _repeated_here(length: int):
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         windows = t["windows"].to_numpy()
-        owner, _, h = _window_hashes(t["bytes"].combine_chunks(), windows, length)
-        h = H.mix(h ^ t["trigger"].to_numpy().view(np.uint64)[owner])
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = np.zeros(len(s), bool)
-        if len(s) > 1:
-            eq = s[1:] == s[:-1]
-            same[1:] |= eq
-            same[:-1] |= eq
-        mark = np.zeros(len(s), bool)
-        mark[order] = same
+        r = _window_ranks(t["bytes"].combine_chunks(), windows, length)
+        mark = np.bincount(r)[r] > 1 if len(r) else np.zeros(0, bool)
         return pa.RecordBatch.from_arrays([t["s1"].combine_chunks(), t["s2"].combine_chunks(), _packed(np.split(mark, np.cumsum(windows)[:-1]))], ["s1", "s2", "bits"])
 
     def run(batches):
@@ -192,11 +190,16 @@ def _by_trigger(trig: np.ndarray, limit: int = 8192):
 def _window_rows(length: int):
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                t = b.slice(at, 1024)
-                owner, offset, h = _window_hashes(t.column("bytes"), t.column("windows").to_numpy(), length)
+            for at in range(0, b.num_rows, 64):
+                t = b.slice(at, 64)
+                windows = t.column("windows").to_numpy()
+                data, offs = H.buffers(t.column("bytes"))
+                owner = np.repeat(np.arange(len(windows)), windows)
+                offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+                each = np.lib.stride_tricks.sliding_window_view(data, length)[offs[:-1][owner] + offset]
+                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(owner), [None, pa.py_buffer(np.ascontiguousarray(each))]).cast(pa.binary())
                 take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([t.column("s1").take(take), t.column("s2").take(take), pa.array(offset.astype(np.int32)), pa.array(h.view(np.int64)), t.column("trigger").take(take)], ["s1", "s2", "o", "h", "trigger"])
+                yield pa.RecordBatch.from_arrays([t.column("s1").take(take), t.column("s2").take(take), pa.array(offset.astype(np.int32)), blob], ["s1", "s2", "o", "w"])
 
     return tidy(run)
 
@@ -257,7 +260,7 @@ def exact_substring_dedup(df: DataFrame, length: int = LENGTH, hot: int = HOT) -
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) for each row of df (doc_id, text).
 
     Every byte covered by a length-byte string that also starts elsewhere, in the same row or another, goes.
-    Null texts are empty; texts under length bytes stay whole. Rows that repeat a doc_id, or have none, are
+    Null texts are empty; texts under length bytes stay whole, very long ones are worked on whole; an empty table gives an empty one. Rows that repeat a doc_id, or have none, are
     rows like any other: each is a text of its own. Other columns are ignored.
     """
     ship(df.sparkSession)
@@ -279,9 +282,9 @@ def exact_substring_dedup(df: DataFrame, length: int = LENGTH, hot: int = HOT) -
     blobs = cut(docs.select("d", "row_id", "text").dropDuplicates(["d", "row_id"]).join(edge, ["d", "row_id"]).select("text", "ks").mapInArrow(_texts(length), "trigger long, s1 long, s2 long, hot boolean, windows int, bytes binary"))
     schema = "s1 long, s2 long, bits binary"
     cool = blobs.where("NOT hot").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_repeated_here(length), schema)
-    spread = blobs.where("hot").mapInArrow(_window_rows(length), "s1 long, s2 long, o int, h long, trigger long")
-    again = cut(spread.groupBy("h", "trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "trigger"))
-    warm = spread.join(again, ["h", "trigger"]).groupBy("s1", "s2").agg(F.collect_set("o").alias("os")).mapInArrow(tidy(_bits_of_offsets), schema)
+    spread = blobs.where("hot").mapInArrow(_window_rows(length), "s1 long, s2 long, o int, w binary")
+    again = cut(spread.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
+    warm = spread.join(again, "w").groupBy("s1", "s2").agg(F.collect_set("o").alias("os")).mapInArrow(tidy(_bits_of_offsets), schema)
     bits = cut(cool.where("bits IS NOT NULL").union(warm))
     state = entries.select("s1", "s2", (F.col("n") > 1).alias("whole")).join(bits, ["s1", "s2"], "left").where("whole OR bits IS NOT NULL")
     state = cut(state.select("s1", "s2", "whole", F.when(~F.col("whole"), F.col("bits")).alias("bits")))
