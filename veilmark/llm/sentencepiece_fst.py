@@ -26,7 +26,7 @@ from . import hashing as H
 from .common import ids_and_texts, ship, tidy
 
 MARK = "▁"
-BYTES, WIDE, CACHED = 3 << 19, 40, 120_000
+BYTES, WIDE, CACHED, MAX_KEY = 3 << 19, 40, 120_000, 48
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 _machines: dict = {}
 
@@ -306,10 +306,17 @@ class Machine:
         known = self.cache
         missing = list(set(chain.from_iterable(keys)).difference(known))
         known.update(zip(missing, self.compose([self.spelled(k) for k in missing]), strict=True))
-        return [b"".join(map(known.__getitem__, k)) for k in keys]
+        out = [b"".join(map(known.__getitem__, k)) for k in keys]
+        for k in missing:  # long ones hardly come again: kept, they'd fill the cache with whole documents
+            if len(k) > MAX_KEY:
+                del known[k]
+        return out
 
     def decode(self, ids) -> str:
         """The text of the ids; bytes that are not UTF-8 become replacement characters."""
+        bad = [i for i in ids if not 0 <= i < len(self.bytes_of)]
+        if bad:
+            raise ValueError(f"no piece has the id {bad[0]}")
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
@@ -325,7 +332,8 @@ def encode(df: DataFrame, path: str) -> DataFrame:
 
     ids are the library's, without begin or end. round_trip: decoding gives the text back, a space mark
     in it counting as the space it stands for. A null text is empty: no ids, round_trip true. Repeated rows
-    are encoded each; a null doc_id stays null; other columns are ignored.
+    are encoded each; a null doc_id stays null; other columns are ignored; an empty table gives an empty one, and
+    very long texts are encoded whole.
     """
     ship(df.sparkSession)
 
@@ -349,12 +357,17 @@ def encode(df: DataFrame, path: str) -> DataFrame:
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
-    """doc_id and text for each row of df (doc_id, ids); null ids give a null text, ids outside the model an error."""
+    """doc_id and text for each row of df (doc_id, ids).
+
+    Null ids give a null text, no ids an empty one, and a null id among others nothing; ids outside the model are an
+    error that names one. Repeated rows are decoded each; a null doc_id stays null; other columns are ignored; an
+    empty table gives an empty one.
+    """
     ship(df.sparkSession)
 
     def run(batches):
         fst = machine(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if x is None else fst.decode(x) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if x is None else fst.decode([i for i in x if i is not None]) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
     return df.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
