@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .common import ids_and_texts, ship, tidy
 
-BITS, MAX_LABELLED, EPOCHS = 20, 20_000, 3
+BITS, MAX_LABELLED, MAX_BYTES, EPOCHS = 20, 20_000, 256 << 20, 3
 ALPHA, BETA, L1, L2 = 10.0, 1.0, 0.02, 0.0
 
 
@@ -81,9 +81,14 @@ def calibrated(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(c[0]), float(c[1])) if np.isfinite(c).all() and c[0] > 0 else (1.0, 0.0)
 
 
-def _train(bits: int, epochs: int):
+def _train(bits: int, epochs: int, limit: int):
     def run(batches):
-        rows = [(np.frombuffer(x.as_py(), np.int32), y.as_py()) for b in batches for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+        rows, held = [], 0
+        for b in batches:
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                if held <= limit:
+                    rows.append((np.frombuffer(x.as_py(), np.int32), y.as_py()))
+                    held += rows[-1][0].nbytes
         if not rows:
             return
         w, bias = ftrl([r for k, r in enumerate(rows) if k % 5], bits, epochs)
@@ -113,7 +118,8 @@ def train(df: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, bits: int
     """The weights as bytes (buckets, values) and the bias, from at most ``most`` labelled rows.
 
     Which: those of smallest hash of doc_id among labels (doc_id, quality 0/1) whose crc32(doc_id) mod 5 is not 0.
-    Labels that are null or have no document are left out; without any label all scores are 0.5.
+    Of these, in the same order, only as many are used as have MAX_BYTES bytes of buckets, so that what the fit holds is
+    bounded in bytes too. Labels that are null or have no document are left out; without any label all scores are 0.5.
     """
     spark = df.sparkSession
     key = F.col("doc_id").cast("long")
@@ -121,7 +127,7 @@ def train(df: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, bits: int
     picked = picked.select(key.alias("doc_id"), F.col("quality").cast("int").alias("y"), F.xxhash64(key).alias("h")).orderBy("h", "doc_id", "y").limit(most)
     found = ids_and_texts(df).join(F.broadcast(picked), "doc_id").select("h", "y", "text")  # at most ``most`` rows of 20 bytes
     rows = found.mapInArrow(_featurise(bits), "h long, y int, x binary").repartition(1).sortWithinPartitions("h", "y", "x")
-    got = rows.mapInArrow(_train(bits, epochs), "at binary, w binary, bias double").collect()
+    got = rows.mapInArrow(_train(bits, epochs, MAX_BYTES), "at binary, w binary, bias double").collect()
     return (bytes(got[0].at), bytes(got[0].w), got[0].bias) if got else (b"", b"", 0.0)
 
 
@@ -129,7 +135,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, b
     """doc_id, held_out, score, predicted for each row of df (doc_id, text).
 
     The text alone decides the score. Null and empty texts have no n-grams and get the bias. Repeated rows are
-    scored each; a null doc_id stays null and is not held out; other columns are ignored.
+    scored each; a null doc_id stays null and is not held out; other columns are ignored; an empty table gives an
+    empty one, and very long texts are scored whole.
     """
     spark = df.sparkSession
     ship(spark)
