@@ -424,6 +424,36 @@ def test_token_counts_are_the_librarys(spark, docs):
             assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 512), t[:80]
 
 
+def test_pieces_of_any_white_space_add_up():
+    path = tokenizer_file("byte_bpe_50k.json")
+    tok = token_counts.tokenizer(path)
+    r = random.Random(21)
+    bits = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u3000", "\x1c", "\x1f", "\x85", "\u200b", "\u180e", "a", "bc", "9", "...", "é", "中", "'s", "😀"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 25))) for _ in range(6000)] + ["A title\n\nA paragraph  with two spaces.\tAnd a tab. \n\n  * an item\n"]
+    want = token_counts.lengths(tok, texts)
+    got = [sum(token_counts.lengths(tok, [token_counts.piece(k) for k in token_counts.keys_of(t)])) for t in texts]
+    assert got == want
+    assert token_counts.splits(path) == (True, ("<|endoftext|>",)) and not token_counts.splits(tokenizer_file("word_bpe_49k.json"))[0]
+
+
+def test_caches_keep_no_long_pieces(spark):
+    m = sentencepiece_fst.machine(tokenizer_file("piece_bpe_32k.model"))
+    m.encode_all(["x" * 5000 + " short", "ab" * 400])
+    assert max(map(len, m.cache)) <= sentencepiece_fst.MAX_KEY and "short" in m.cache
+
+
+def test_decoding_odd_ids(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    schema = "doc_id long, ids array<int>, text string"
+    ids = sentencepiece_fst.machine(path).encode_all(["two words"])[0]
+    ids = np.frombuffer(ids, "<u2").tolist()
+    df = spark.createDataFrame([(1, None, "x"), (2, [], "x"), (None, ids, "x"), (3, [ids[0], None, *ids[1:]], "x")], schema)
+    assert {r.doc_id: r.text for r in sentencepiece_fst.decode(df, path).collect()} == {1: None, 2: "", None: "two words", 3: "two words"}
+    assert sentencepiece_fst.decode(df.where("false"), path).collect() == []
+    with pytest.raises(Exception, match="no piece has the id 99999"):
+        sentencepiece_fst.decode(spark.createDataFrame([(1, [99999], "x")], schema), path).collect()
+
+
 # personal data
 
 
@@ -446,6 +476,21 @@ def test_base_spans():
     assert pii.base_spans("a" * 200_000 + "@") == [] and pii.base_spans("1" * 200_000) == []
 
 
+def test_intervals():
+    r = random.Random(4)
+    for _ in range(300):
+        base = [(a, 0, a + r.randint(1, 9)) for a in (r.randint(0, 80) for _ in range(r.randint(0, 12)))]
+        taken, held = pii.Taken(base), [(a, z) for a, _, z in base]
+        for _ in range(30):
+            a = r.randint(0, 90)
+            z = a + r.randint(1, 6)
+            hit = any(a < y and x < z for x, y in held)
+            assert taken.overlaps(a, z) == hit
+            if not hit:
+                taken.add(a, z)
+                held.append((a, z))
+
+
 def test_personal_data(spark, docs):
     extra = ["call me: (555) 123-4567 now", "mail jane [at] example [dot] com", "order 555-1234 of 2020-01-02", "card 4111.1111.1111.1111 ok", None, "host fe80:0:0:0:202:b3ff:fe1e:8329 up"]
     rows = docs + [(90_000 + i, t) for i, t in enumerate(extra)]
