@@ -29,7 +29,7 @@ def clear_scratch(spark: SparkSession) -> None:
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers and bounds the batches they get by bytes."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "64MB"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     session.ship(spark)
 
 
@@ -42,7 +42,7 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def text_slices(batches, column: str = "text", limit: int = 1 << 20):
+def text_slices(batches, column: str = "text", limit: int = 1 << 18):
     """The batches in slices of about limit bytes of text, so that what a worker holds follows no batch size."""
     from . import hashing as H
 

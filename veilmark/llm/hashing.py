@@ -16,7 +16,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _powers = {}
 
 

@@ -108,13 +108,12 @@ def _verifier(percent: int):
 
 
 def _spread(batches):
-    """A row for each shingle of a set, with the other columns of its row."""
+    """A row for each shingle of a set."""
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            t = b.slice(at, 256)
+        for at in range(0, b.num_rows, 64):
+            t = b.slice(at, 64)
             sets = [np.frombuffer(x.as_py(), np.int64) for x in t.column("set")]
-            take = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
-            yield pa.RecordBatch.from_arrays([*(t.column(c).take(take) for c in ("rep", "n", "comp")), pa.array(np.concatenate(sets))], ["rep", "n", "comp", "v"])
+            yield pa.RecordBatch.from_arrays([t.column("id").take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))), pa.array(np.concatenate(sets))], ["rep", "v"])
 
 
 def fewest_shared(percent: int, k: int = K, chance: float = 1e-9) -> int:
@@ -182,19 +181,21 @@ def near_duplicates(df: DataFrame, percent: int = 80, exact: bool = False) -> Da
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _first_of(values: DataFrame, keep: tuple[str, ...], fewest) -> DataFrame:
-    """(v, rep, keep but its last, central, place) of each class under its rarest values; fewest: how many of them a link shares.
+def _first_of(values: DataFrame, sizes: DataFrame, fewest) -> DataFrame:
+    """(v, the columns of sizes but k, central, place) of each class under its rarest values; fewest: how many of them a link shares.
 
-    values: (rep, keep, v); the last of keep is the number of values. Those that no other class has are the rarest:
-    they fill the first places and are listed nowhere.
+    values: (rep, v); sizes: (rep, n, k and others), k being the number of a class's values. Those that no other class
+    has are the rarest: they fill the first places and are listed nowhere.
     """
     # aggregates are written before they are joined on their own key: joined at once they'd share their shuffle
     # with the join, and Spark couldn't split a value that very many classes have
     shared = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    mine = values.join(shared, "v").groupBy("rep", *keep).agg(F.sum("df").alias("central"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))  # as many as a text has
-    alone = (F.col(keep[-1]) - F.size("vs")).cast("int")
-    listed = F.slice("vs", F.lit(1), F.greatest(F.lit(0), (F.col(keep[-1]) - fewest + 1 - alone).cast("int")))
-    return cut(mine.select("rep", *keep[:-1], "central", alone.alias("alone"), F.posexplode(listed).alias("at", "x")).select("rep", *keep[:-1], "central", (F.col("alone") + F.col("at")).alias("place"), F.col("x.v").alias("v")))
+    mine = values.join(shared, "v").groupBy("rep").agg(F.sum("df").alias("central"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))  # as many as a text has
+    alone = (F.col("k") - F.size("vs")).cast("int")
+    listed = F.slice("vs", F.lit(1), F.greatest(F.lit(0), (F.col("k") - fewest + 1 - alone).cast("int")))
+    others = [c for c in sizes.columns if c != "k"]
+    mine = mine.join(sizes, "rep").select(*others, "central", alone.alias("alone"), F.posexplode(listed).alias("at", "x"))
+    return cut(mine.select(*others, "central", (F.col("alone") + F.col("at")).alias("place"), F.col("x.v").alias("v")))
 
 
 def _hubs(lists: DataFrame) -> DataFrame:
@@ -209,10 +210,10 @@ def _as_edges(found: DataFrame) -> DataFrame:
 
 def _by_sketches(docs: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Components (id, component) of the links with hubs of lists by sketches, and the members (rep, n, comp) of lists with several."""
-    values = reps.select("rep", "n", F.size("sketch").cast("long").alias("k"), F.explode("sketch").alias("v"))
+    values = reps.select("rep", F.explode("sketch").alias("v"))
     # a sketch below K is the whole set, but a link's sketch may still lack some of it
     least = F.coalesce(F.get(F.array(*map(F.lit, fewest_of_small(percent))), F.col("n").cast("int")), F.lit(fewest_shared(percent)))
-    lists = _first_of(values, ("n", "k"), least)
+    lists = _first_of(values, reps.select("rep", "n", F.size("sketch").alias("k")), least)
     first = lists.join(_hubs(lists), "v").where(f"rep <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     found = cut(components(cut(_verified(docs, reps, first, percent))))
     placed = lists.join(found, lists.rep == found.id, "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("comp"))
@@ -223,9 +224,9 @@ def _by_sketches(docs: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFr
 def _by_sets(docs: DataFrame, reps: DataFrame, found: DataFrame, open_: DataFrame, percent: int, exact: bool) -> DataFrame:
     """Edges (a, b) that join what found has joined and what else is linked among the members in open_."""
     sets = cut(_full_sets(docs, reps, open_.select(F.col("rep").alias("id"))))
-    values = open_.join(sets, open_.rep == sets.id).select("rep", "n", "comp", "set").mapInArrow(tidy(_spread), "rep long, n long, comp long, v long")
+    values = cut(sets.mapInArrow(tidy(_spread), "rep long, v long"))
     # a link of n values shares percent of them at least
-    lists = _first_of(cut(values).select("rep", "n", "comp", F.col("n").alias("k"), "v"), ("n", "comp", "k"), F.ceil(F.lit(percent) * F.col("n") / 100))
+    lists = _first_of(values, open_.select("rep", "n", "comp", F.col("n").alias("k")), F.ceil(F.lit(percent) * F.col("n") / 100))
     near = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     hubs = _hubs(lists).join(open_.select(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
     first = lists.join(cut(hubs), "v").where(f"comp <> hub_comp AND {near}").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
