@@ -10,9 +10,9 @@ they are packed; nothing is unpacked.
   vector that a third of the rows hold is searched for, and found, once.
 * Codes and queries meet in a grid: every part of the index with every block of queries, GRID codes and QUERIES
   queries at most in each cell, by a shuffle of codes (a few dozen bytes) and queries. Original vectors stay where they are.
-* A cell gives, per query, the classes whose lower bound is under its k + 1st least upper bound. Per query, the
-  k + 1st least upper bound of all cells then leaves few: the survivors, whose original vectors are read, by
-  id, and compared in double precision.
+* First each cell gives, per query, its k + 1 classes of least upper bound, whichever they are. The k + 1 least of all
+  cells are compared in double precision: the largest of these distances is the query's bar. Then each cell gives the
+  classes whose lower bound is under the bar, the survivors. Original vectors are read, by id, for these two only.
 """
 
 from __future__ import annotations
@@ -104,37 +104,35 @@ def bounds(turned: np.ndarray, far: np.ndarray, codes: np.ndarray, norm: np.ndar
     return both - 2 * dot - wide, both - 2 * dot + wide
 
 
-def _cell(dim: int, mean: np.ndarray, seed: int, k: int, epsilon: float):
-    """Of one cell: (q, c, lower, upper) of the classes whose lower bound is under the query's k-th least upper bound here."""
-    names = ["q", "c", "lower", "upper"]
+def _cell(dim: int, mean: np.ndarray, seed: int, k: int, epsilon: float, barred: bool):
+    """Of one cell: (q, c, upper) of each query's k classes of least upper bound; if barred, of those whose lower bound is under its bar."""
+    names = ["q", "c", "upper"]
 
     def run(key, index: pa.Table, queries: pa.Table) -> pa.Table:
-        nothing = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names)
-        if not index.num_rows or not queries.num_rows:
-            return nothing
-        q, c = queries["q"].to_numpy(), index["c"].to_numpy()
-        rest = _vectors(queries["v"], dim) - mean
-        far, turned = np.linalg.norm(rest, axis=1), (rest @ rotation(dim, seed)).astype(np.float32)
-        codes = H.buffers(index["code"])[0].reshape(len(c), -1)
-        norm, fit = index["norm"].to_numpy(), index["fit"].to_numpy()
-        out = []
-        for a in range(0, len(q), 128):
-            mine = slice(a, min(a + 128, len(q)))
-            bar, kept = np.full(mine.stop - a, np.inf), []
-            for b in range(0, len(c), 4096):
-                part = slice(b, min(b + 4096, len(c)))
-                lower, upper = bounds(turned[mine], far[mine], codes[part], norm[part], fit[part], epsilon)
-                if upper.shape[1] >= k:
-                    bar = np.minimum(bar, np.partition(upper, k - 1, axis=1)[:, k - 1])
-                i, j = np.nonzero(lower <= bar[:, None])
-                kept.append((i, b + j, lower[i, j], upper[i, j]))
-            i, j, lower, upper = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.lexsort((upper, i))
-            place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
-            last = order[place == k - 1]
-            bar[i[last]] = np.minimum(bar[i[last]], upper[last])
-            good = lower <= bar[i]
-            out.append((q[a + i[good]], c[j[good]], lower[good], upper[good]))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if index.num_rows and queries.num_rows:
+            q, c = queries["q"].to_numpy(), index["c"].to_numpy()
+            rest = _vectors(queries["v"], dim) - mean
+            far, turned = np.linalg.norm(rest, axis=1), (rest @ rotation(dim, seed)).astype(np.float32)
+            bars = queries["bar"].to_numpy()
+            codes = H.buffers(index["code"])[0].reshape(len(c), -1)
+            norm, fit = index["norm"].to_numpy(), index["fit"].to_numpy()
+            for a in range(0, len(q), 128):
+                mine = slice(a, min(a + 128, len(q)))
+                top = np.full((mine.stop - a, 0), np.inf), np.zeros((mine.stop - a, 0), np.int64)
+                for b in range(0, len(c), 2048):
+                    part = slice(b, min(b + 2048, len(c)))
+                    lower, upper = bounds(turned[mine], far[mine], codes[part], norm[part], fit[part], epsilon)
+                    if barred:
+                        i, j = np.nonzero(lower <= bars[mine, None])
+                        out.append((q[a + i], c[b + j], upper[i, j]))
+                    else:
+                        best = np.argpartition(upper, min(k, upper.shape[1]) - 1, axis=1)[:, :k]
+                        top = np.concatenate([top[0], np.take_along_axis(upper, best, 1)], axis=1), np.concatenate([top[1], b + best], axis=1)
+                        best = np.argpartition(top[0], min(k, top[0].shape[1]) - 1, axis=1)[:, :k]
+                        top = tuple(np.take_along_axis(x, best, 1) for x in top)
+                if not barred:
+                    out.append((np.repeat(q[mine], top[0].shape[1]), c[top[1].ravel()], top[0].ravel()))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
 
     return run
@@ -181,15 +179,21 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, epsilon: float = EPSIL
     parts, blocks = max(-(-n // grid), min(spark.sparkContext.defaultParallelism, -(-n // 4096)), 1), max(1, -(-m // QUERIES))
     at = lambda c, p: F.pmod(F.xxhash64(c), F.lit(p)).cast("int")
     left = index.withColumn("part", at("c", parts)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", at("q", blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    near = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_cell(dim, mean, seed, k + 1, epsilon), "q long, c long, lower double, upper double")
-    near = cut(near)
-    low = near.select("q", "upper").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("upper"))).where(F.col("place") <= k + 1)
-    bars = cut(low.groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.max("upper")).otherwise(float("inf")).alias("bar")))
-    left = near.join(bars, "q").where("lower <= bar").select("q", "c").join(classes, "c")
-    exact = left.join(queries.withColumnRenamed("v", "w"), "q").select("q", "c", "least", "v", "w").mapInArrow(_distances(dim), "q long, c long, least long, score double")
+
+    def met(asking: DataFrame, barred: bool) -> DataFrame:
+        right = asking.withColumn("block", at("q", blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_cell(dim, mean, seed, k + 1, epsilon, barred), "q long, c long, upper double")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("q", "c").join(classes, "c").join(queries.withColumnRenamed("v", "w"), "q")
+        return both.select("q", "c", "least", "v", "w").mapInArrow(_distances(dim), "q long, c long, least long, score double")
+
+    best = met(queries.withColumn("bar", F.lit(0.0)), False).withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("upper", "c"))).where(F.col("place") <= k + 1)
+    bar = F.when(F.count(F.lit(1)) > k, F.max(F.col("score") * F.col("score")) * (1 + 1e-9)).otherwise(float("inf"))
+    bars = cut(compared(cut(best)).groupBy("q").agg(bar.alias("bar")))
+    near = cut(met(queries.join(bars, "q"), True))
     place = F.row_number().over(Window.partitionBy("q").orderBy("score", "least"))
-    top = cut(exact.withColumn("place", place).where(F.col("place") <= k + 1).select("q", "c", "score"))
+    top = cut(compared(near).withColumn("place", place).where(F.col("place") <= k + 1).select("q", "c", "score"))
     rows = members.select("vec_id", "row", "v").join(classes.select("v", "c"), "v").select("c", "vec_id", "row")
     found = asked.join(top, "q").join(rows, "c").where("row <> own")
     rank = F.row_number().over(Window.partitionBy("own").orderBy("score", "vec_id", "row"))
