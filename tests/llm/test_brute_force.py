@@ -206,6 +206,35 @@ def test_exact_substrings_on_documents(spark, docs):
 # line dedup
 
 
+def plain_chunks(text):
+    """Chunk ends by the rule as it is stated, a line at a time: (chunk, lines, lines that hold a word)."""
+    if not text:
+        return []
+    out, held, before = [], [], 0
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        b = line.encode()
+        h = 0
+        for i, c in enumerate(b):
+            h = (h + int(hashing.BYTE[c]) * pow(int(hashing.BASE), i, 2**64)) % 2**64
+        h = int(hashing.mix(np.array([(h + len(b) * int(hashing.BASE2)) % 2**64], np.uint64))[0])
+        held.append(line)
+        if k == len(lines) - 1 or int(hashing.mix(np.array([(before * int(hashing.BASE) + h) % 2**64], np.uint64))[0]) % line_dedup.EVERY == 0:
+            out.append(("\n".join(held), len(held), sum(bool(WORD.search(x)) for x in held)))
+            held = []
+        before = h
+    return out
+
+
+def test_chunks_are_those_of_the_plain_rule(docs):
+    r = random.Random(14)
+    texts = [t for _, t in docs[:25] if len(t) < 4000] + ["\n".join(r.choice(["", " ", "a", "bb c", "é", "x" * 30]) for _ in range(r.randrange(1, 30))) for _ in range(80)] + ["", "\n", "\n\n", "a\n"]
+    for t in texts:
+        b = t.encode()
+        _, start, end, lines, full = line_dedup.chunk_spans(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        assert [(b[a:z].decode(), int(n), int(f)) for a, z, n, f in zip(start, end, lines, full)] == plain_chunks(t)
+
+
 def brute_lines(rows):
     first, out = set(), {}
     for i, t in sorted(rows):
@@ -527,6 +556,48 @@ def test_quality_classifier(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.9
 
 
+def test_scores_are_plain_dot_products(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    at, values, bias = quality_model.train(docs, labels)
+    weights = dict(zip(np.frombuffer(at, np.int32).tolist(), np.frombuffer(values, np.float32).tolist()))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def bucket(h):
+        return int(hashing.mix(np.array([h], np.uint64))[0] >> np.uint64(64 - quality_model.BITS))
+
+    def word(w):
+        data = np.frombuffer(w.encode(), np.uint8)
+        return int(hashing.span_hashes(hashing.BYTE[data], np.array([0]), np.array([len(data)]))[0])
+
+    lower = str.maketrans({65 + i: 97 + i for i in range(26)})
+    for r in quality_model.quality_scores(docs, labels).limit(60).collect():
+        h = [word(w) for w in WORD.findall(texts[r.doc_id].translate(lower))]
+        grams = {bucket(x) for x in h} | {bucket((x * int(hashing.BASE) + y) % 2**64) for x, y in zip(h, h[1:])}
+        s = bias + (sum(weights.get(b, 0.0) for b in grams) / math.sqrt(len(grams)) if grams else 0.0)
+        assert abs(r.score - 1 / (1 + math.exp(-max(-35, min(35, s))))) < 1e-6
+
+
+def test_plain_ftrl_gives_the_same_weights():
+    r = np.random.default_rng(5)
+    rows = [(np.unique(r.integers(0, 64, 12)).astype(np.int32), int(y)) for y in r.integers(0, 2, 120)]
+    w, b = quality_model.ftrl(rows, bits=6, epochs=2)
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= quality_model.L1 else -(z[i] - math.copysign(quality_model.L1, z[i])) / ((quality_model.BETA + math.sqrt(n[i])) / quality_model.ALPHA + quality_model.L2)
+
+    for _ in range(2):
+        for x, y in rows:
+            v = {int(i): 1 / math.sqrt(len(x)) for i in x} | {64: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * a for i, a in v.items())))
+            for i, a in {i: ((p - y) * a, weight(i)) for i, a in v.items()}.items():
+                g, old = a
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality_model.ALPHA * old
+                n[i] += g * g
+    assert np.allclose(w, [weight(i) for i in range(64)], atol=1e-6) and abs(b - weight(64)) < 1e-9
+
+
 def test_ftrl_separates():
     r = np.random.default_rng(0)
     rows = [(np.unique(np.append(r.integers(10, 1000, 20), 1 if y else 2)).astype(np.int32), y) for y in r.integers(0, 2, 600).tolist()]
@@ -541,7 +612,15 @@ def test_mixing_meets_its_targets(spark):
     assert np.allclose(p.sum(axis=1), 1) and (out.rate >= 0).all()
     mass = (p * out.n_tokens.to_numpy()[:, None] * out.rate.to_numpy()[:, None]).sum(axis=0)
     share = mass / mass.sum()
-    assert np.allclose(share, [mixing.WEIGHTS[d] for d in mixing.DOMAINS], atol=0.01)
+    assert np.allclose(share, [mixing.WEIGHTS[d] for d in mixing.DOMAINS], atol=1e-5) and set(out.off_target < mixing.TOLERANCE) == {True}
+    # a plain projected gradient of the same least squares, a step at a time on the whole table, finds the same rates
+    a = p * out.n_tokens.to_numpy()[:, None]
+    own = a.sum(axis=0)
+    goal = own[0] / mixing.WEIGHTS["clean"] * np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+    rate = np.ones(len(out))
+    for _ in range(500):
+        rate = np.maximum(0, rate - p @ ((a.T @ rate - goal) / np.maximum(own, 1)))
+    assert np.allclose(a.T @ rate, goal, rtol=1e-6) and np.allclose(rate, out.rate, atol=1e-4)
     assert abs((out.copies * out.n_tokens).sum() / (out.rate * out.n_tokens).sum() - 1) < 0.1
     words = {r.doc_id: len(WORD.findall(r.text)) for r in docs.collect()}
     assert all(words[r.doc_id] == r.n_tokens for r in out.itertuples())
@@ -550,6 +629,25 @@ def test_mixing_meets_its_targets(spark):
     assert np.mean(np.array(clean) >= 1) > 0.9
 
 
+def test_posteriors_are_those_of_plain_naive_bayes(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = mixing.posteriors(docs, labels).toPandas().set_index("doc_id")
+    words = {r.doc_id: [w.lower() for w in WORD.findall(r.text)] for r in docs.collect()}
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in {w for ws in words.values() for w in ws}], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    domain = {r.doc_id: "toxic" if r.toxic == 1 else "low" if r.quality == 0 else "clean" for r in labels.collect()}
+    counts = {d: Counter(bucket[w] for i, k in domain.items() if k == d for w in words.get(i, ())) for d in mixing.DOMAINS}
+    total = {d: sum(counts[d].values()) for d in mixing.DOMAINS}
+    every, n = sum(counts.values(), Counter()), sum(total.values())
+    sizes = Counter(domain.values())
+    for i, ws in list(words.items())[:80]:
+        logits = []
+        for d in mixing.DOMAINS:
+            s = sum(math.log((counts[d][b] + every[b] / n) / (total[d] + 1) / (every[b] / n)) for b in map(bucket.get, ws) if every[b])
+            logits.append(math.log((sizes[d] + 1) / (sum(sizes.values()) + 3)) + s / max(1, math.sqrt(len(ws))))
+        e = np.exp(np.array(logits) - max(logits))
+        assert np.allclose(rows.loc[i, [f"p_{d}" for d in mixing.DOMAINS]].to_numpy(float), e / e.sum(), atol=1e-6), i
+
+
 def test_copies_realise_the_rates(spark):
     rates = [0.0, 0.02, 0.05, 0.1, 0.14, 0.28, 0.5, 0.9, 0.97, 1.0, 1.04, 2.3]
     df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h")).crossJoin(spark.createDataFrame([(x,) for x in rates], "rate double"))

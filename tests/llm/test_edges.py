@@ -100,6 +100,28 @@ def test_decisions_take_effect(spark):
     assert mixed == mixing.mix(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")).agg(F.sum("copies")).first()[0]
 
 
+def test_no_shared_folder_is_an_error_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from veilmark.llm.common import scratch_root
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    there = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(applicationId="a" + master, master=master, getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(there("spark://host:7077"))
+    assert scratch_root(there("local[4]")).startswith("file://")
+
+
+def test_rows_beyond_the_filter_of_ids(spark, monkeypatch):
+    from veilmark.llm import common
+
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
+    monkeypatch.setattr(common, "FILTER_WORDS", 1 << 17)
+    ids = spark.range(0, 3000, 2)
+    monkeypatch.setattr(common, "MOST_IDS", 100)
+    assert {r.doc_id for r in common.only_ids(df, "doc_id", ids).collect()} == set(range(0, 3000, 2))
+
+
 def test_scratch_can_be_cleared(spark):
     from pathlib import Path
 

@@ -75,6 +75,7 @@ def tidy(run):
 
 
 FILTER_WORDS = 1 << 17
+MOST_IDS = 8 * FILTER_WORDS
 
 
 def only_ids(df: DataFrame, key: str, ids: DataFrame, then=None, schema: str | None = None) -> DataFrame:
@@ -94,7 +95,7 @@ def only_ids(df: DataFrame, key: str, ids: DataFrame, then=None, schema: str | N
     for k in (0, 6, 12):
         mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, CAST(shiftright(xxhash64(CAST(`{name}` AS LONG)), {k}) & 63 AS INT))"))
     found = ids.where(F.col(name).isNotNull()).select(F.expr(f"shiftrightunsigned(xxhash64(CAST(`{name}` AS LONG)), {64 - 17})").alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"), F.count(F.lit(1)).alias("n")).toPandas()
-    if found.n.sum() > 8 * FILTER_WORDS:
+    if found.n.sum() > MOST_IDS:
         some = df.join(ids, df[key] == ids[name], "left_semi")
         return some.mapInArrow(tidy(then), schema) if then else some
     words = np.zeros(FILTER_WORDS, np.uint64)

@@ -202,7 +202,7 @@ def line_dedup(df: DataFrame, every: int = EVERY, runs: bool = False) -> DataFra
     lines two stay), and n_removed_chunks counts the stretches removed. Blank lines go with the line before them,
     those at a text's start with its first line. Otherwise only repeated chunks go, cut by every.
 
-    A null text is empty and has no lines. Chunks of one line, or with fewer than two lines that hold a word,
+    A null text is empty and has no lines; an empty table gives an empty one; very long texts are worked on whole. Chunks of one line, or with fewer than two lines that hold a word,
     always stay. Rows equal in doc_id and text are one document written twice: neither is the other's
     repetition. Rows without doc_id come first in order. A chunk that very many documents share is one small
     row per occurrence; its bytes are fetched once, and travel to its occurrences by a join Spark can split.

@@ -80,12 +80,15 @@ def copies_of(rate: Column) -> Column:
 
 
 def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, most: int = MAX_LABELLED, steps: int = STEPS) -> DataFrame:
-    """doc_id, h, n_tokens, p_clean, p_low, p_toxic, rate, copies per distinct (doc_id, text) of df.
+    """doc_id, h, n_tokens, p_clean, p_low, p_toxic, rate, copies, off_target per distinct (doc_id, text) of df.
 
     Targets: weights times a total at which clean text keeps its own token count, so clean documents get rates
     near 1 and the others what their weight leaves. copies is the whole part of rate plus one where a hash of
     the document falls under the fraction, so the copies expected of each document are its rate, and those of
-    each domain meet its target as the rates do. A null text is empty: no tokens, the priors. Rows equal in doc_id and
+    each domain meet its target as the rates do. Log odds of a document's words are divided by the square root of their
+    number, since words of one text are not independent. Descent ends when every domain is within TOLERANCE of its target,
+    relative to its own tokens, or after steps; off_target, the same in all rows, says how far the worst domain is,
+    so a fit that did not get there shows (no rates can give text of one kind the shares of three). A null text is empty: no tokens, the priors. Rows equal in doc_id and
     text share one row here (h is the text's hash). An empty table gives an empty one; other columns are ignored.
     """
     weights = weights or WEIGHTS
@@ -102,12 +105,13 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = Non
     target = [total * weights[d] / share for d in DOMAINS]
     past: list[list[float]] = []
     now = own
-    for _ in range(steps):
+    for k in range(steps + 1):
         gap = [(e - t) / max(n, 1.0) for e, t, n in zip(now, target, own, strict=True)]
-        if max(abs(g) for g in gap) < TOLERANCE:
+        off = max(map(abs, gap))
+        if off < TOLERANCE or k == steps:
             break
         past.append(gap)
         now = tokens(_rate(past))
     rate = _rate(past)
     out = p.withColumn("rate", rate)
-    return out.select("doc_id", "h", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", copies_of(F.col("rate")).alias("copies"))
+    return out.select("doc_id", "h", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", copies_of(F.col("rate")).alias("copies"), F.lit(off).alias("off_target"))

@@ -63,6 +63,11 @@ def rule_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -
     )
 
 
+def named(host: Column) -> Column:
+    """A host's name with a mark in front, so that null, which is a host of its own, is like no name."""
+    return F.coalesce(F.concat(F.lit("="), host), F.lit(""))
+
+
 def host_verdicts(failures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """(host, n, rate, host_ok) of (host, failed). The prior comes from the moments of all hosts' rates.
 
@@ -81,14 +86,15 @@ def quality_rules(df: DataFrame, host: str = "source", max_rate: float = MAX_HOS
     """doc_id, the counts, base_failed, host_rate, kept for each row of df (doc_id, text, host).
 
     A null or empty text has no words and so fails the base rules. Null hosts are one host of their own.
-    Repeated rows count each time; a null doc_id stays null; other columns are ignored. A host of very many
+    Repeated rows count each time; a null doc_id stays null; other columns are ignored; an empty table gives an empty
+    one, and very long texts are counted whole. A host of very many
     rows is one small partial sum per task, and its verdict comes back by a join that Spark can split.
     """
     counts = cut(rule_counts(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(host).cast("string").alias("host")), keep=("doc_id", "host")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counts = counts.withColumn("base_failed", failed)
-    verdicts = host_verdicts(counts.select(F.coalesce("host", F.lit("\0")).alias("host"), F.col("base_failed").alias("failed")), max_rate)
-    out = counts.withColumn("host", F.coalesce("host", F.lit("\0"))).join(verdicts.select("host", F.col("rate").alias("host_rate"), "host_ok"), "host", "left")
+    verdicts = host_verdicts(counts.select(named(F.col("host")).alias("host"), F.col("base_failed").alias("failed")), max_rate)
+    out = counts.withColumn("host", named(F.col("host"))).join(verdicts.select("host", F.col("rate").alias("host_rate"), "host_ok"), "host", "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 
 
@@ -98,7 +104,7 @@ def keep_good(df: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RA
     Counts are written beside the rows, so texts are read once and never shuffled while the hosts' verdicts
     fit a broadcast; Spark checks that by the size of their table.
     """
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("text").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("text").alias("text"), named(F.col(host).cast("string")).alias("host"))
     counts = rule_counts(rows, keep=("row", "host"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     flagged = cut(counts.select("row", "host", failed.alias("failed")))
