@@ -267,6 +267,17 @@ def reserved_routes(spark, d):
     return identity.identities(table(spark, d, "part").selectExpr("p_partkey AS doc_id", f"{text} AS text"))
 
 
+_PHONES = ("concat('+1415', lpad(cast(c_custkey AS varchar(20)), 7, '0'))", "concat('(020) 7946 ', lpad(cast(c_custkey % 10000 AS varchar(20)), 4, '0'))", "concat('+44 20 7946 ', lpad(cast(c_custkey % 10000 AS varchar(20)), 4, '0'))", "concat('10', cast(c_custkey % 90 + 10 AS varchar(20)), '.555.2368')")
+_PHONE_TEXT = "concat('é ', {}, ' or ', {}, ' or ', {}, ', ', {}, '; not 12 34 56, 2021-03-04, 20210304T050607Z, x5551234567 nor 5551234567')".format(*_PHONES)
+
+
+@query("detect_phone_shapes", f"""
+WITH s AS (SELECT c_custkey AS doc_id, {_PHONE_TEXT} AS text, [{', '.join(_PHONES)}] AS hits FROM customer), h AS (SELECT doc_id, text, unnest(hits) AS hit FROM s)
+SELECT doc_id, hit, CAST(position(hit IN text) - 1 AS BIGINT) AS first, CAST(position(hit IN text) - 1 + length(hit) AS BIGINT) AS last FROM h""")
+def phone_shapes(spark, d):
+    return exploded(table(spark, d, "customer").selectExpr("c_custkey AS doc_id", f"{_PHONE_TEXT} AS text"), "PHONE_NUMBER")
+
+
 _SHOPS = "concat('At Marks and Spencer', CASE c_custkey % 3 WHEN 0 THEN 's' ELSE '' END, ', Caf', CASE c_custkey % 2 WHEN 0 THEN chr(233) ELSE 'e' END, ' Rouge, SAINSBURYS no ', cast(c_custkey AS varchar(20)), ' or body shop; not Sparx or xCafe Rouge')"
 
 
