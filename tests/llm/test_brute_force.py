@@ -542,6 +542,47 @@ def test_thresholds_hold_on_unseen_sentences():
     assert y[chosen].mean() > 0.95 and chosen[y == 1].mean() > 0.9
 
 
+# Written by hand, by no template of the training generator
+PERSONAL = (
+    "Please e-mail our office under anna.weber [at] posteo [dot] de before Friday.",
+    "Reach Tom via tom_h(at)mailbox(dot)org if anything breaks",
+    "you can write to marie dot curie at example dot fr",
+    "Call me on 020 7946 0958 after six",
+    "My mobile: 07700 900123",
+    "Téléphone : 01 42 68 53 00",
+    "Fax (415) 555-0132, ask for Lee",
+    "Whatsapp 0049 171 5550 123 please",
+    "Tel. 0711/5550199",
+    "charge it to card 4111/1111/1111/1111, exp 04/27",
+    "her visa is 5500.0000.0000.0004",
+    "the server at 2001:db8:85a3:8d3:1319:8a2e:370:7348 answered",
+    "login from fe80:1:2:3:4:5:6:7 was denied",
+    "phone 555-867-5309 rings",
+)
+HARMLESS = (
+    "On 2021-03-04 the meeting moved to room 12 34",
+    "Invoice 4711-0815-1234-9999 is overdue",
+    "See pages 123-145 of volume 12",
+    "ISBN 978-3-16-148410-0 is out of print",
+    "version 10.4.22 fixes this",
+    "The score was 21-19 21-17",
+    "We met at noon dot by dot",
+    "It took from 12:30:45 to 13:10:05",
+    "order no 0123456789 shipped",
+    "Between 1914-1918 and 1939-1945",
+    "temperature 36.6 to 37.2 at night",
+    "ticket id 555-0199-22 closed",
+    "total 1 250 000 units",
+    "Latitude 48.8566 2.3522",
+)
+
+
+def test_added_spans_in_sentences_of_another_hand():
+    trees, bars = pii.model()
+    found = [bool(a or b) for ss in (PERSONAL, HARMLESS) for base in [[pii.base_spans(t) for t in ss]] for a, b in zip(base, pii.added_spans(list(ss), base, trees, bars))]
+    assert sum(found[: len(PERSONAL)]) >= 12 and not any(found[len(PERSONAL) :])
+
+
 # learned models
 
 
