@@ -97,7 +97,39 @@ query("detect_aws_access_key", spans_sql(SEEDED, "[A-Z0-9]+", where="length(hit)
 _ACCOUNTS = "concat(text, ' acct 1234-5678-', lpad(cast(doc_id % 10000 AS varchar(20)), 4, '0'), ' or ', lpad(cast(doc_id AS varchar(20)), 12, '7'), ' not 1234567890123')"
 query("detect_aws_account_documents", spans_sql(f"SELECT doc_id, {_ACCOUNTS} AS text FROM documents", "[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]+", where="length(hit) = 12 OR contains(hit, '-')"))(lambda spark, d: exploded(table(spark, d, "documents").selectExpr("doc_id", f"{_ACCOUNTS} AS text"), "AWS_ACCOUNT_ID"))
 query("detect_aws_account_seeded", spans_sql(SEEDED, "[0-9]+", where="length(hit) = 12"))(lambda spark, d: exploded(seeded(spark, d), "AWS_ACCOUNT_ID"))
-query("detect_phone_documents")(lambda spark, d: exploded(table(spark, d, "documents"), "PHONE_NUMBER"))
+
+
+def placed_sql(name: str, source: str, pattern: str) -> str:
+    """Three relations that end in name (doc_id, hit, a, z): the matches of an RE2 pattern in source (doc_id, t) with their places."""
+    p = pattern.replace("'", "''")
+    return f"""{name}1 AS (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM {source}),
+{name}2 AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM {name}1 WHERE len(m) > 0),
+{name} AS (SELECT doc_id, m[i] AS hit, a, a + length(m[i]) AS z FROM (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM {name}2) x)"""
+
+
+# RE2 has no look-around: with all letters made one, \b before or after a digit and \B before a sign say the same; with
+# letters made spaces, \b next to a digit says that no other digit is there, which is what dates ask for
+_GROUPS = r"[0-9]{2,4}(?:[ \t.-][0-9]{2,4}){1,3}\b"
+_PHONE = rf"\B\+[0-9]{{7,14}}\b|\B\+[0-9]{{1,3}}[ \t.-]?(?:\([0-9]{{2,4}}\)[ \t.-]?)?{_GROUPS}|\B\([0-9]{{2,4}}\)[ \t.-]?{_GROUPS}|\b{_GROUPS}"
+_YMD = r"\b[0-9]{4}(?:-[0-9]{1,2}-[0-9]{1,2}|/[0-9]{1,2}/[0-9]{1,2}|\.[0-9]{1,2}\.[0-9]{1,2})\b"
+_DMY = r"\b(?:[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})\b"
+_PART = "CAST(regexp_extract_all(hit, '[0-9]+')[{}] AS INT)"
+_Y, _M, _D = (_PART.format(k) for k in (1, 2, 3))
+PHONE_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_replace(text, '[\\p{{L}}_]', 'a', 'g') AS t FROM documents),
+s AS (SELECT doc_id, regexp_replace(text, '[\\p{{L}}_]', ' ', 'g') AS t FROM documents),
+{placed_sql("p", "w", _PHONE)},
+{placed_sql("y", "s", _YMD)},
+{placed_sql("d", "s", _DMY)},
+{placed_sql("c", "s", r"\b[0-9]{8}\b")},
+{placed_sql("h", "s", r"\b[0-9]{1,2}\.[0-9]{2}\.[0-9]{2}\b")},
+r AS (SELECT doc_id, a, z FROM y WHERE {_Y} BETWEEN 2000 AND 2075 AND {_M} BETWEEN 1 AND 12 AND {_D} BETWEEN 1 AND 31
+  UNION ALL SELECT doc_id, a, z FROM d WHERE {_D} BETWEEN 2000 AND 2075 AND least({_Y}, {_M}) BETWEEN 1 AND 12 AND {_Y} BETWEEN 1 AND 31 AND {_M} BETWEEN 1 AND 31
+  UNION ALL SELECT doc_id, a, z FROM c WHERE CAST(left(hit, 4) AS INT) BETWEEN 2000 AND 2075 AND CAST(substr(hit, 5, 2) AS INT) BETWEEN 1 AND 12 AND CAST(right(hit, 2) AS INT) BETWEEN 1 AND 31
+  UNION ALL SELECT doc_id, a, z FROM h WHERE {_Y} <= 23 AND {_M} <= 59 AND {_D} <= 59)
+SELECT doc_id, hit, a AS first, z AS last FROM p
+WHERE length(regexp_replace(hit, '[^0-9]', '', 'g')) >= 7 AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = p.doc_id AND r.a < p.z AND p.a < r.z)"""
+query("detect_phone_documents", PHONE_SQL)(lambda spark, d: exploded(table(spark, d, "documents"), "PHONE_NUMBER"))
 query("detect_phone_seeded", spans_sql(SEEDED, r"\b555-[0-9]{3}-[0-9]{4}\b"))(lambda spark, d: exploded(seeded(spark, d), "PHONE_NUMBER").where("hit LIKE '555-%'"))
 
 
@@ -114,7 +146,15 @@ def company(spark, d):
     return found.select("doc_id", F.col("s.text").alias("hit"), F.col("s.start").cast("long").alias("first"), F.col("s.end").cast("long").alias("last"))
 
 
-@query("detect_all_counts")
+_COUNTED = {**_SIMPLE, "EMAIL": _EMAIL, "URL": r"(?i)\b(?:https?|ftp)://[^\s<>\"')\]]+", "USERNAME_MENTION": r"(?:^|[^\p{L}\p{N}_])@[A-Za-z0-9][A-Za-z0-9-]{2,36}[A-Za-z0-9]\b"}
+_ALL = " UNION ALL ".join(f"SELECT lang, '{k}' AS entity_type, CAST(sum(len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'))) AS BIGINT) AS n FROM documents GROUP BY lang" for k, p in _COUNTED.items())
+
+
+@query("detect_all_counts", f"""
+SELECT lang, entity_type, n FROM (
+  SELECT lang, 'PHONE_NUMBER' AS entity_type, count(*) AS n FROM ({PHONE_SQL}) p JOIN documents USING (doc_id) GROUP BY lang
+  UNION ALL SELECT lang, 'AWS_ACCOUNT_ID', CAST(sum(len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 12))) AS BIGINT) FROM documents GROUP BY lang
+  UNION ALL {_ALL}) c WHERE n > 0""")
 def all_counts(spark, d):
     found = table(spark, d, "documents").select("lang", F.explode(detect.detect_text(F.col("text"), CONFIG)).alias("s"))
     return found.groupBy("lang", F.col("s.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
