@@ -21,7 +21,10 @@ SIDE, BLOCK = "\ufdd0", 64  # a code point that no text may hold; texts that do
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), the value computed once however often it is used."""
+    """use(value), the value computed once however often it is used.
+
+    Spark 4.1 fails to run a Python UDF whose argument nests these lambdas: such UDFs take plain columns here.
+    """
     return F.transform(F.array(value), use).getItem(0)
 
 
