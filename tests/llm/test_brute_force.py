@@ -171,7 +171,7 @@ def brute_removed(rows, length=200):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 6, 1])
 def test_exact_substrings(spark, hot):
     r = random.Random(5)
     base = "".join(r.choice("abcdefgh ") for _ in range(2500))

@@ -12,7 +12,9 @@
   stands in several entries of the dictionary, and no global sort is needed.
 * The parse enters the corpus order by the reach of the phrases: what follows a phrase within LENGTH bytes is part
   of its entry, so equal entries are equal to that depth in the order of the parse as well.
-* Triggers with more than HOT entries are dealt by the single window, by its bytes, so no task gets an unbounded group.
+* Triggers with more than HOT entries are dealt by slices: windows that hold about as many bytes before the trigger, told
+  apart by the bytes that all windows of the slice share (all but SLICE - 1 of a window's). Only what a slice shares with
+  more than HOT entries is dealt once more, by the single window, by its bytes. So no task gets an unbounded group.
 
 Documents never share a window, since windows end at the document's end.
 """
@@ -23,13 +25,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
 from .common import cut, ids_and_texts, ship, tidy
 
-LENGTH, TRIGGER, HOT = 200, 32, 10_000  # entries of at most 369 bytes: some 4 MB, and 150 while they are ranked
+LENGTH, TRIGGER, SLICE = 200, 32, 13  # the trigger stands at one of 169 places of a window: 13 slices of 13
+HOT = 10_000  # entries of at most 369 bytes: some 4 MB, and 150 while they are ranked
 
 
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -122,10 +126,10 @@ def _texts(length: int):
         for b in batches:
             chosen, names = b.column("ks"), ("trigger", "s1", "s2", "hot")
             data, offs = H.buffers(b.column("text"))
-            out: dict = {x: [] for x in (*names, "windows", "bytes")}
+            out: dict = {x: [] for x in (*names, "windows", "lead", "bytes")}
             for i, j in H.chunks(offs):
                 part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                row, first, last, _, _ = parse(part, o, length)
+                row, first, last, place, _ = parse(part, o, length)
                 starts = np.searchsorted(row, np.arange(len(o)))
                 for q in range(i, j):
                     for x in chosen[q].as_py():
@@ -133,8 +137,9 @@ def _texts(length: int):
                         for name in names:
                             out[name].append(x[name])
                         out["windows"].append(int(last[p] - first[p]) + 1)
+                        out["lead"].append(int(place[p] - first[p]))
                         out["bytes"].append(part[first[p] : last[p] + length].tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("trigger", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("hot", pa.bool_()), ("windows", pa.int32()), ("bytes", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("trigger", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("hot", pa.bool_()), ("windows", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary())]))
 
     return tidy(run)
 
@@ -150,14 +155,37 @@ def _packed(marks: list[np.ndarray]) -> pa.Array:
     return pa.array([np.packbits(m).tobytes() if m.any() else None for m in marks], pa.binary())
 
 
+def _marks(t: pa.Table, length: int) -> list[np.ndarray]:
+    """For each row: which of its windows occur twice among those of all rows."""
+    windows = t["windows"].to_numpy()
+    r = _window_ranks(t["bytes"].combine_chunks(), windows, length)
+    mark = np.bincount(r)[r] > 1 if len(r) else np.zeros(0, bool)
+    return np.split(mark, np.cumsum(windows)[:-1])
+
+
 def _repeated_here(length: int):
     """Rows sorted by trigger: which windows of each phrase occur twice among the phrases of its trigger."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        windows = t["windows"].to_numpy()
-        r = _window_ranks(t["bytes"].combine_chunks(), windows, length)
-        mark = np.bincount(r)[r] > 1 if len(r) else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([t["s1"].combine_chunks(), t["s2"].combine_chunks(), _packed(np.split(mark, np.cumsum(windows)[:-1]))], ["s1", "s2", "bits"])
+        return pa.RecordBatch.from_arrays([t["s1"].combine_chunks(), t["s2"].combine_chunks(), _packed(_marks(t, length))], ["s1", "s2", "bits"])
+
+    return _in_groups("trigger", solve)
+
+
+def _repeated_in_slices(length: int):
+    """Rows sorted by key: the places in its phrase of the windows of each slice that occur twice among the slices of its key."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        at = [o + np.flatnonzero(m) for o, m in zip(t["o"].to_pylist(), _marks(t, length), strict=True)]
+        some = pa.array([len(x) > 0 for x in at], pa.bool_())
+        found = pa.RecordBatch.from_arrays([t["s1"].combine_chunks(), t["s2"].combine_chunks(), pa.array(at, pa.list_(pa.int32()))], ["s1", "s2", "os"])
+        return found.filter(some)
+
+    return _in_groups("key", solve)
+
+
+def _in_groups(key: str, solve):
+    """solve over tables that hold whole groups of batches sorted by key."""
 
     def run(batches):
         held = None
@@ -166,9 +194,9 @@ def _repeated_here(length: int):
                 continue
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([held, t]) if held is not None else t
-            trig = t["trigger"].to_numpy()
-            end = int(np.searchsorted(trig, trig[-1]))
-            for at, to in _by_trigger(trig[:end]):
+            each = t[key].to_numpy()
+            end = int(np.searchsorted(each, each[-1]))
+            for at, to in _whole_groups(each[:end]):
                 yield solve(t.slice(at, to - at))
             held = t.slice(end)
         if held is not None:
@@ -177,17 +205,46 @@ def _repeated_here(length: int):
     return tidy(run)
 
 
-def _by_trigger(trig: np.ndarray, limit: int = 8192):
-    """Ranges of about limit rows that hold whole triggers."""
+def _whole_groups(keys: np.ndarray, limit: int = 8192):
+    """Ranges of about limit rows that hold whole groups of one key."""
     at = 0
-    while at < len(trig):
-        to = min(at + limit, len(trig))
-        to = int(np.searchsorted(trig, trig[to - 1], side="right"))
+    while at < len(keys):
+        to = min(at + limit, len(keys))
+        to = int(np.searchsorted(keys, keys[to - 1], side="right"))
         yield at, to
         at = to
 
 
+def _slices(length: int):
+    """A row for each slice of a phrase's windows: its key, its first window's place in the phrase, its windows and their bytes.
+
+    Equal windows hold equally many bytes before their trigger, so they are in slices of one number, and share the bytes
+    that all windows of that slice have. The key is a hash of these and that number: a collision only makes slices meet.
+    """
+    width = min(SLICE, length)
+    schema = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("o", pa.int32()), ("windows", pa.int32()), ("bytes", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                out: dict = {x: [] for x in schema.names}
+                for e in b.slice(at, 256).to_pylist():
+                    x, most = e["bytes"], e["lead"]
+                    least = most - e["windows"] + 1  # bytes before the trigger in the last window
+                    for low in range(least - least % width, most + 1, width):
+                        high = low + width - 1
+                        o, n = most - min(high, most), min(high, most) - max(low, least) + 1
+                        shared = x[most - low : most - high + length]
+                        for name, value in zip(schema.names, (xxhash.xxh3_64_intdigest(shared, low) - (1 << 63), e["s1"], e["s2"], o, n, x[o : o + n - 1 + length]), strict=True):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return tidy(run)
+
+
 def _window_rows(length: int):
+    """A row for each window of a slice, with its place in the phrase."""
+
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
@@ -199,7 +256,7 @@ def _window_rows(length: int):
                 each = np.lib.stride_tricks.sliding_window_view(data, length)[offs[:-1][owner] + offset]
                 blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(owner), [None, pa.py_buffer(np.ascontiguousarray(each))]).cast(pa.binary())
                 take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([t.column("s1").take(take), t.column("s2").take(take), pa.array(offset.astype(np.int32)), blob], ["s1", "s2", "o", "w"])
+                yield pa.RecordBatch.from_arrays([t.column("s1").take(take), t.column("s2").take(take), pa.array((t.column("o").to_numpy()[owner] + offset).astype(np.int32)), blob], ["s1", "s2", "o", "w"])
 
     return tidy(run)
 
@@ -279,12 +336,17 @@ def exact_substring_dedup(df: DataFrame, length: int = LENGTH, hot: int = HOT) -
     # twice, so that its windows belong to two phrases of one trigger, which are in entries both
     edge = entries.join(shared, "trigger").where("n = 1 OR m > 1").select("d", "row_id", F.struct("k", "trigger", "s1", "s2", (F.col("m") > hot).alias("hot")).alias("x"))
     edge = edge.groupBy("d", "row_id").agg(F.collect_list("x").alias("ks"))  # at most the phrases of one text
-    blobs = cut(docs.select("d", "row_id", "text").dropDuplicates(["d", "row_id"]).join(edge, ["d", "row_id"]).select("text", "ks").mapInArrow(_texts(length), "trigger long, s1 long, s2 long, hot boolean, windows int, bytes binary"))
+    blobs = cut(docs.select("d", "row_id", "text").dropDuplicates(["d", "row_id"]).join(edge, ["d", "row_id"]).select("text", "ks").mapInArrow(_texts(length), "trigger long, s1 long, s2 long, hot boolean, windows int, lead int, bytes binary"))
     schema = "s1 long, s2 long, bits binary"
     cool = blobs.where("NOT hot").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_repeated_here(length), schema)
-    spread = blobs.where("hot").mapInArrow(_window_rows(length), "s1 long, s2 long, o int, w binary")
-    again = cut(spread.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
-    warm = spread.join(again, "w").groupBy("s1", "s2").agg(F.collect_set("o").alias("os")).mapInArrow(tidy(_bits_of_offsets), schema)
+    spread = blobs.where("hot").mapInArrow(_slices(length), "key long, s1 long, s2 long, o int, windows int, bytes binary")
+    met = cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot")))
+    slices = cut(spread.join(met, "key"))
+    some = slices.where("NOT hot").repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_in_slices(length), "s1 long, s2 long, os array<int>")
+    single = slices.where("hot").mapInArrow(_window_rows(length), "s1 long, s2 long, o int, w binary")
+    again = cut(single.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
+    places = some.union(single.join(again, "w").select("s1", "s2", F.array("o").alias("os")))
+    warm = places.groupBy("s1", "s2").agg(F.flatten(F.collect_list("os")).alias("os")).mapInArrow(tidy(_bits_of_offsets), schema)  # at most the windows of one phrase
     bits = cut(cool.where("bits IS NOT NULL").union(warm))
     state = entries.select("s1", "s2", (F.col("n") > 1).alias("whole")).join(bits, ["s1", "s2"], "left").where("whole OR bits IS NOT NULL")
     state = cut(state.select("s1", "s2", "whole", F.when(~F.col("whole"), F.col("bits")).alias("bits")))
