@@ -33,7 +33,7 @@ from . import hashing as H
 from .common import cut, ids_and_texts, ship, tidy
 
 LENGTH, TRIGGER, SLICE = 200, 32, 13  # the trigger stands at one of 169 places of a window: 13 slices of 13
-HOT = 10_000  # entries of at most 369 bytes: some 4 MB, and 150 while they are ranked
+HOT = 2_000  # entries of at most 369 bytes: under 1 MB, and some 30 while they are ranked
 
 
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
