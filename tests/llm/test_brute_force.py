@@ -344,6 +344,21 @@ def test_quality_rules(spark, docs):
     assert kept.columns == ["doc_id", "text", "source"] and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].kept}
 
 
+def test_quality_rules_of_hosts_by_another_failure(spark):
+    plain = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    rows = [(i, t, "clean") for i, t in enumerate(plain)] + [(100 + i, t + " #" * 12, "spam") for i, t in enumerate(plain)]
+    rows += [(200, plain[0] + " #" * 12, "clean"), (201, "short", "clean"), (202, plain[1], None), (203, None, None), (204, plain[2], "spam")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    symbols = 10 * F.col("n_symbols") > F.col("n_words")
+    some = {r.doc_id for r in quality_rules.quality_rules(df, failure=symbols).where("kept").collect()}
+    assert some == {*range(40), 200, 202}
+    assert {r.doc_id for r in quality_rules.keep_good(df, failure=symbols).collect()} == some
+    without = {i for i, t, _ in rows if i not in (201, 203)}
+    assert {r.doc_id for r in quality_rules.quality_rules(df).where("kept").collect()} == without
+    never = F.when(F.col("n_words") < 0, True)
+    assert {r.doc_id for r in quality_rules.quality_rules(df, failure=never).where("kept").collect()} == without
+
+
 # nearest neighbours
 
 

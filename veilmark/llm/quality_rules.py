@@ -82,8 +82,16 @@ def host_verdicts(failures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     return hosts.select("host", "n", ((F.col("f") + s * m) / (F.col("n") + s)).alias("rate")).withColumn("host_ok", F.col("rate") <= max_rate)
 
 
-def quality_rules(df: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """doc_id, the counts, base_failed, host_rate, kept for each row of df (doc_id, text, host).
+def base_failure() -> Column:
+    """Whether a row of counts fails the base rules."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def quality_rules(df: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE, failure: Column | None = None) -> DataFrame:
+    """doc_id, the counts, base_failed, kept for each row of df (doc_id, text, host).
+
+    A host's rate counts the documents for which failure holds, an expression over the counts (where it is null it doesn't
+    hold); base failures unless given. Whatever it is, a document that fails the base rules goes, and one that fails only it stays if its host does.
 
     A null or empty text has no words and so fails the base rules. Null hosts are one host of their own.
     Repeated rows count each time; a null doc_id stays null; other columns are ignored; an empty table gives an empty
@@ -91,22 +99,22 @@ def quality_rules(df: DataFrame, host: str = "source", max_rate: float = MAX_HOS
     rows is one small partial sum per task, and its verdict comes back by a join that Spark can split.
     """
     counts = cut(rule_counts(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(host).cast("string").alias("host")), keep=("doc_id", "host")))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    counts = counts.withColumn("base_failed", failed)
-    verdicts = host_verdicts(counts.select(named(F.col("host")).alias("host"), F.col("base_failed").alias("failed")), max_rate)
-    out = counts.withColumn("host", named(F.col("host"))).join(verdicts.select("host", F.col("rate").alias("host_rate"), "host_ok"), "host", "left")
+    counts = counts.withColumn("base_failed", base_failure())
+    judged = F.col("base_failed") if failure is None else F.coalesce(failure, F.lit(False))
+    verdicts = host_verdicts(counts.select(named(F.col("host")).alias("host"), judged.alias("failed")), max_rate)
+    out = counts.withColumn("host", named(F.col("host"))).join(verdicts.select("host", "host_ok"), "host", "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 
 
-def keep_good(df: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of df, all columns as they are, that pass the base rules and whose host passes.
+def keep_good(df: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE, failure: Column | None = None) -> DataFrame:
+    """The rows of df, all columns as they are, that pass the base rules and whose host passes, by failure as in quality_rules.
 
     Counts are written beside the rows, so texts are read once and never shuffled while the hosts' verdicts
     fit a broadcast; Spark checks that by the size of their table.
     """
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("text").alias("text"), named(F.col(host).cast("string")).alias("host"))
     counts = rule_counts(rows, keep=("row", "host"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    flagged = cut(counts.select("row", "host", failed.alias("failed")))
+    judged = base_failure() if failure is None else F.coalesce(failure, F.lit(False))
+    flagged = cut(counts.select("row", "host", base_failure().alias("base_failed"), judged.alias("failed")))
     good = cut(host_verdicts(flagged.select("host", "failed"), max_rate).where("host_ok").select("host"))
-    return flagged.where("NOT failed").join(good, "host", "left_semi").select("row.*")
+    return flagged.where("NOT base_failed").join(good, "host", "left_semi").select("row.*")
