@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veilmark.llm import ann, exact_substring, hashing, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, sentencepiece_fst, token_counts
 from veilmark.llm.components import components
 from veilmark.llm.queries import tokenizer_file
@@ -301,6 +302,58 @@ def test_every_repeated_run_of_lines_goes(spark, docs):
     assert all(got[i].text.endswith("\nthe same last line") for i in range(100, 160))
 
 
+def plain_run_chunks(text, every, most):
+    """Chunks of pairs of lines that hold a word, a pair at a time: (first pair, pairs, bytes)."""
+    b = text.encode()
+    _, start, end, _, h, _ = line_dedup.pair_spans(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+    out, held = [], 0
+    for k in range(len(h)):
+        held += 1
+        if int(h[k]) % 2**64 % every == 0 or held == most or k == len(h) - 1:
+            out.append((k - held + 1, held, b[start[k - held + 1] : end[k]]))
+            held = 0
+    return out
+
+
+@pytest.mark.parametrize("every, most", [(line_dedup.EVERY, line_dedup.MOST), (1, 64), (3, 2), (2**63, 5), (2**63, 10**6)])
+def test_chunks_of_pairs_do_not_change_what_goes(spark, docs, every, most):
+    r = random.Random(every % 97 + most)
+    rows = [(i, "\n".join(r.choice(["", " ", "a", "bb c", "é", "x" * 9]) for _ in range(r.randrange(1, 25)))) for i in range(70)]
+    rows += [(100 + i, "\n".join(r.choice("ab") for _ in range(r.randrange(1, 40)))) for i in range(25)]
+    rows += [(200, "\n".join("a" * 130)), (201, "\n".join("ab" * 70)), (202, None), (203, ""), (204, "\n\n"), (205, "one"), (-7, "z\ny\nx")]
+    rows += [(1000 + i, t) for i, t in docs[:20]] + [(2000 + i, "a new first line\n" + t) for i, t in docs[:20]]
+    text = {i: t or "" for i, t in rows}
+    table = spark.createDataFrame([*rows, rows[3]], TABLE).repartition(3)  # one row twice: neither is the other's repetition
+    got = line_dedup.line_dedup(table, every=every, runs=True, most=most).select("row.doc_id", "text", "n_removed_lines", "n_removed_chunks").collect()
+    want = brute_runs(list(text.items()))
+    assert len(got) == len(rows) + 1 and all((x.text, x.n_removed_lines, x.n_removed_chunks) == want[x.doc_id] for x in got)
+    for t in text.values():
+        b = t.encode()
+        _, start, end, k, n, _, _ = line_dedup.run_chunks(np.frombuffer(b, np.uint8), np.array([0, len(b)]), every, most)
+        assert [(int(q), int(m), b[a:z]) for q, m, a, z in zip(k, n, start, end)] == plain_run_chunks(t, every, most)
+
+
+def test_the_pipeline_finds_lines_by_chunks_first(spark, docs, monkeypatch):
+    written = []
+    monkeypatch.setattr(line_dedup, "cut", lambda df, whole=line_dedup.cut: written.append(whole(df)) or written[-1])
+    rows = [(i, t) for i, t in docs[:40] if t] + [(5000 + i, "a new first line\n" + t) for i, t in docs[:40] if t]
+    got = {x.doc_id: x.text for x in corpus_pipeline.stage_line_dedup(spark, spark.createDataFrame(rows, TABLE), DATA).collect()}
+    assert got == {i: t for i, (t, _, _) in brute_runs(rows).items()}
+    chunks = {i: plain_run_chunks(t, line_dedup.EVERY, line_dedup.MOST) for i, t in rows}
+    assert sorted((x.doc_id, x.k) for x in written[0].collect()) == sorted((i, k) for i, cs in chunks.items() for k, _, _ in cs)
+    first, gone = {}, set()
+    for i, t in sorted(rows):
+        for k, n, b in chunks[i]:
+            if first.setdefault(b, (i, k)) not in ((i, k), (i, k - 1)):
+                gone.add((i, k, n))
+    marks = {(x.d, m.k, len(m.original)) for t in written if "marks" in t.columns for x in t.collect() for m in x.marks}
+    span = {(i, k, n): len(b) for i, cs in chunks.items() for k, n, b in cs}
+    assert {(i, k, span[i, k, n]) for i, k, n in gone} <= marks  # whole chunks go as such
+    inside = {(i, q) for i, k, n in gone for q in range(k, k + n)}
+    single = {(d, k) for d, k, size in marks} - {(i, k) for i, k, _ in gone}
+    assert max(n for _, _, n in gone) > 2 and len(inside) > 100 and not single & inside  # and their pairs are not looked at again
+
+
 def test_boundaries_resist_shifts():
     body = "\n".join(f"some line number {i}" for i in range(200))
     chunks = []

@@ -1,11 +1,14 @@
-"""Line dedup by repeated runs of lines, or by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, with or without the repeated runs of lines that they leave.
 
 Runs (what op10 and the pipeline use): a run of two or more lines is made of pairs of neighbouring lines that hold
-a word, with what stands between them. Each pair is hashed, so every repeated run is found, wherever it begins or
-ends. A line goes if a pair it is part of stood before, after the pair's bytes are compared with the first place's
-bytes. Every line that goes stands at an earlier place too, and its first place is never removed.
-
-Chunks (faster, coarser): lines are hashed; a rolling hash over each two neighbouring line hashes ends a chunk where it is 0 modulo
+a word, with what stands between them. Pairs are hashed, and a chunk of pairs ends where that hash is 0 modulo EVERY
+(or after MOST pairs), so boundaries depend on the lines near them only. Neighbouring chunks share a line: each pair is
+in one chunk. A chunk that stood before goes whole, after its bytes are compared with the first place's bytes. What
+chunks leave is looked at again in the finest grain, by pairs, but only those of chunks that are not gone: the first
+place of a pair is always in the first place of its chunk, so every repeated run is found, wherever it begins or
+ends, however chunks are cut. Every line that goes stands at an earlier place too, and its first place is never removed.
+
+Chunks alone (faster, coarser): lines are hashed; a rolling hash over each two neighbouring line hashes ends a chunk where it is 0 modulo
 EVERY, so boundaries depend on the lines near them only and survive shifts. Chunks of two or more lines
 that occur more than once in the corpus are removed everywhere but at their first place (smallest doc_id),
 after their bytes are compared with the first place's bytes.
@@ -13,6 +16,8 @@ after their bytes are compared with the first place's bytes.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +28,7 @@ from . import hashing as H
 from .common import cut, ship, text_of, tidy
 
 EVERY = 4
+MOST = 64
 
 
 def _lines(data: np.ndarray, offs: np.ndarray):
@@ -111,14 +117,35 @@ def pair_spans(data: np.ndarray, offs: np.ndarray):
     return row[a], starts[a], ends[a + 1], a - np.searchsorted(row, row[a]), *hashes
 
 
-def _pairs(batches):
-    for b in batches:
-        ids, keys = b.column("doc_id"), b.column("row_id")
-        data, offs = H.buffers(b.column("text"))
-        for i, j in H.chunks(offs):
-            row, _, _, k, h1, h2 = pair_spans(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            take = pa.array(i + row)
-            yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(k.astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "row_id", "k", "h1", "h2"])
+def run_chunks(data: np.ndarray, offs: np.ndarray, every: int = EVERY, most: int = MOST):
+    """Row, start, end of each chunk of pairs, the number k of its first pair, how many pairs it has, and the two hashes of each pair."""
+    row, start, end, k, h1, h2 = pair_spans(data, offs)
+    stop = h1.view(np.uint64) % H.U(every) == 0
+    stop[:-1] |= row[1:] != row[:-1]
+    stop[-1:] = True
+    a = np.flatnonzero(np.concatenate([[True], stop])[: len(stop)])
+    stop |= (np.arange(len(stop)) - np.repeat(a, np.diff(a, append=len(stop)))) % most == most - 1
+    a, z = np.flatnonzero(np.concatenate([[True], stop])[: len(stop)]), np.flatnonzero(stop)
+    return row[a], start[a], end[z], k[a], z - a + 1, h1, h2
+
+
+def _run_chunks(every: int, most: int):
+    def run(batches):
+        for b in batches:
+            ids, keys = b.column("doc_id"), b.column("row_id")
+            data, offs = H.buffers(b.column("text"))
+            for i, j in H.chunks(offs):
+                part = data[offs[i] : offs[j]]
+                row, start, end, k, n, h1, h2 = run_chunks(part, offs[i : j + 1] - offs[i], every, most)
+                whole = part.tobytes()
+                digests = b"".join(blake2b(whole[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), end.tolist(), strict=True))
+                c1, c2 = (pa.array(np.ascontiguousarray(c)) for c in np.frombuffer(digests, np.int64).reshape(-1, 2).T)
+                at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                p1, p2 = (pa.ListArray.from_arrays(at, pa.array(h)) for h in (h1, h2))
+                take = pa.array(i + row)
+                yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(k.astype(np.int32)), c1, c2, p1, p2], ["doc_id", "row_id", "k", "h1", "h2", "p1", "p2"])
+
+    return run
 
 
 def _pair_originals(batches):
@@ -134,7 +161,7 @@ def _pair_originals(batches):
                     p = int(at[q - i]) + x["k"]
                     out["h1"].append(x["h1"])
                     out["h2"].append(x["h2"])
-                    out["original"].append(part[start[p] : end[p]].tobytes())
+                    out["original"].append(part[start[p] : end[p + x["n"] - 1]].tobytes())
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("original", pa.binary())]))
 
 
@@ -152,8 +179,8 @@ def _remove_pairs(batches):
                 gone = set()
                 for x in marks[q].as_py() or ():
                     p = int(at[q - i]) + x["k"]
-                    if part[start[p] : end[p]].tobytes() == x["original"]:
-                        gone |= {x["k"], x["k"] + 1}
+                    if part[start[p] : end[p + x["n"] - 1]].tobytes() == x["original"]:
+                        gone.update(range(x["k"], x["k"] + x["n"] + 1))
                 if gone:
                     all_lines = text.split(b"\n")
                     _, _, _, _, _, inked = _lines(part[o[q - i] : o[q - i + 1]], np.array([0, len(text)]))
@@ -195,14 +222,21 @@ def _remove(every: int):
     return tidy(run)
 
 
-def line_dedup(df: DataFrame, every: int = EVERY, runs: bool = False) -> DataFrame:
+def _repeated(occ: DataFrame) -> DataFrame:
+    """h1, h2 of what occurs more than once, and the doc_id o, row_id r and number f of its first place."""
+    out = occ.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row_id", "k")).alias("first")).where("n > 1").select("h1", "h2", F.coalesce("first.doc_id", F.lit(-1)).alias("o"), F.col("first.row_id").alias("r"), F.col("first.k").alias("f"))
+    return cut(out)  # else its shuffle would be the join's, and Spark couldn't split a chunk's occurrences
+
+
+def line_dedup(df: DataFrame, every: int = EVERY, runs: bool = False, most: int = MOST) -> DataFrame:
     """row (df's columns but text, as a struct), text (what is left), n_lines, n_removed_lines, n_removed_chunks.
 
     With runs, every repeated run of two or more lines goes, less what overlaps its own first place (of four equal
     lines two stay), and n_removed_chunks counts the stretches removed. Blank lines go with the line before them,
-    those at a text's start with its first line. Otherwise only repeated chunks go, cut by every.
+    those at a text's start with its first line; every and most set how much goes as whole chunks and how much by pairs,
+    not what goes. Otherwise only repeated chunks go, cut by every.
 
-    A null text is empty and has no lines; an empty table gives an empty one; very long texts are worked on whole. Chunks of one line, or with fewer than two lines that hold a word,
+    A null text is empty and has no lines; an empty table gives an empty one; very long texts are worked on whole. Without runs, chunks of one line, or with fewer than two lines that hold a word,
     always stay. Rows equal in doc_id and text are one document written twice: neither is the other's
     repetition. Rows without doc_id come first in order. A chunk that very many documents share is one small
     row per occurrence; its bytes are fetched once, and travel to its occurrences by a join Spark can split.
@@ -212,17 +246,26 @@ def line_dedup(df: DataFrame, every: int = EVERY, runs: bool = False) -> DataFra
     row = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
     docs = df.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     docs = docs.withColumn("d", F.coalesce("doc_id", F.lit(-1))).withColumn("row_id", F.xxhash64("text"))
-    occ = cut(docs.select("doc_id", "row_id", "text").mapInArrow(tidy(_pairs) if runs else _occurrences(every), "doc_id long, row_id long, k int, h1 long, h2 long"))
-    repeated = occ.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row_id", "k")).alias("first")).where("n > 1").select("h1", "h2", F.coalesce("first.doc_id", F.lit(-1)).alias("o"), F.col("first.row_id").alias("r"), F.col("first.k").alias("f"))
-    repeated = cut(repeated)  # else its shuffle would be the join's, and Spark couldn't split a chunk's occurrences
-    found = occ.join(repeated, ["h1", "h2"])
-    if runs:  # a pair that shares a line with its own first place is no repetition
-        found = found.where("NOT (coalesce(doc_id, -1) = o AND row_id = r AND k = f + 1)")
-    cand = cut(found.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "row_id", "k", "h1", "h2", "o", "r", "f").withColumn("first", F.expr("d = o AND row_id = r AND k = f")).drop("o", "r", "f"))
-    owners = cand.where("first").groupBy("d", "row_id").agg(F.collect_set(F.struct("k", "h1", "h2")).alias("ks"))
+    here, d = "coalesce(doc_id, -1) = o AND row_id = r", F.coalesce("doc_id", F.lit(-1)).alias("d")
+    if runs:
+        occ = cut(docs.select("doc_id", "row_id", "text").mapInArrow(tidy(_run_chunks(every, most)), "doc_id long, row_id long, k int, h1 long, h2 long, p1 array<long>, p2 array<long>"))
+        # a chunk that shares a line with its own first place is one pair, and may still repeat a pair before that: pairs decide
+        again = F.expr(f"o IS NOT NULL AND NOT ({here} AND k IN (f, f + 1))")
+        first = F.expr(f"coalesce({here} AND k = f, false)")
+        needed = (F.when(first | again if c in ("h1", "h2") else ~again, F.col(c)).alias(c) for c in ("h1", "h2", "p1", "p2"))
+        chunks = cut(occ.join(_repeated(occ), ["h1", "h2"], "left").select("doc_id", "row_id", "k", F.size("p1").alias("n"), *needed, first.alias("first"), again.alias("again")))
+        left = chunks.where("NOT again").select("doc_id", "row_id", "k", F.posexplode(F.arrays_zip("p1", "p2")).alias("at", "p")).select("doc_id", "row_id", F.expr("k + at").alias("k"), "p.p1", "p.p2").toDF("doc_id", "row_id", "k", "h1", "h2")
+        # a pair that shares a line with its own first place is no repetition
+        found = left.join(_repeated(left), ["h1", "h2"]).where(f"NOT ({here} AND k = f + 1)")
+        found = cut(found.select(d, "row_id", "k", F.lit(1).alias("n"), "h1", "h2", F.expr(f"{here} AND k = f").alias("first")))
+        cand = chunks.where("first OR again").select(d, "row_id", "k", "n", "h1", "h2", "first").unionByName(found)
+    else:
+        occ = cut(docs.select("doc_id", "row_id", "text").mapInArrow(_occurrences(every), "doc_id long, row_id long, k int, h1 long, h2 long"))
+        cand = cut(occ.join(_repeated(occ), ["h1", "h2"]).select(d, "row_id", "k", F.lit(1).alias("n"), "h1", "h2", F.expr(f"{here} AND k = f").alias("first")))
+    owners = cand.where("first").groupBy("d", "row_id").agg(F.collect_set(F.struct("k", "n", "h1", "h2")).alias("ks"))
     originals = docs.select("d", "row_id", "text").join(owners, ["d", "row_id"]).select("text", "ks").mapInArrow(tidy(_pair_originals) if runs else _originals(every), "h1 long, h2 long, original binary").dropDuplicates(["h1", "h2"])
     originals = cut(originals)
-    marks = cand.where("NOT first").join(originals, ["h1", "h2"]).groupBy("d", "row_id").agg(F.collect_set(F.struct("k", "original")).alias("marks"))
+    marks = cand.where("NOT first").join(originals, ["h1", "h2"]).groupBy("d", "row_id").agg(F.collect_set(F.struct("k", "n", "original")).alias("marks"))
     marks = cut(marks)
     out = T.StructType([T.StructField("row", docs.schema["row"].dataType), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_chunks"))])
     return docs.join(marks, ["d", "row_id"], "left").select("row", "text", "marks").mapInArrow(tidy(_remove_pairs) if runs else _remove(every), out)
