@@ -6,7 +6,6 @@ network. A table of reports serves as well.
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -100,8 +99,7 @@ def grounded_in(text: str, reports: list[tuple[str, str]], existing: list[matchi
     out = []
     for needle, kind in reports:
         if kind in REPORTED and needle and needle in text:
-            hits = re.finditer(rf"(?<!\w){re.escape(needle)}(?!\w)", text)
-            out += [(needle, kind, "claude", *m.span()) for m in hits if not any(m.start() < z and a < m.end() for _, _, _, a, z in existing)]
+            out += [(needle, kind, "claude", i, j) for i, j in matching.whole_words(needle, text) if not any(i < z and a < j for _, _, _, a, z in existing)]
     return out
 
 
