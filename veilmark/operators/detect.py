@@ -85,7 +85,7 @@ def fused_redaction(config: EngineConfig):
             out = [matching.redacted(t, m) if m else t for t, m in zip(every, merged, strict=True)]
             yield pa.StructArray.from_arrays([spans_array(spans), spans_array(merged), pa.array(out, pa.string())], ["spans", "merged", "redacted"])
 
-    return redact
+    return redact.asNondeterministic()  # else filters on it are run by a pass of their own, below whatever stands beneath
 
 
 def company_matches(names: Sequence[str]):
@@ -102,6 +102,30 @@ def company_matches(names: Sequence[str]):
     return detect
 
 
+def pattern_matches(max_year: int):
+    """An Arrow UDF text -> spans of all pattern detectors in order: what spans.regex_core has, at a tenth of its time on texts full of tokens."""
+    ship()
+
+    @F.arrow_udf(SPANS)
+    def detect(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield spans_array([matching.regex_core(t or "", max_year) for t in texts.to_pylist()])
+
+    return detect
+
+
+def name_matches():
+    """An Arrow UDF (text, names) -> spans of known names: what spans.known_names has, which compiles patterns for every row."""
+    ship()
+
+    @F.arrow_udf(SPANS)
+    def detect(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, names in parts:
+            yield spans_array([matching.known_names(t or "", n or ()) for t, n in zip(texts.to_pylist(), names.to_pylist(), strict=True)])
+
+    return detect
+
+
 def detect_text(text: Column, config: EngineConfig, names: Column | None = None, native: bool = False, discover: bool = False) -> Column:
     """Spans of a text column: patterns, curated companies, known names, then registered detectors.
 
