@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import matching
 from ..functions.model import MIN_MENTION
 from ..functions.patterns import NOT_AFTER, NOT_BEFORE
+from ..session import ship
 
 
 def recoverable(needle: Column, haystack: Column) -> Column:
@@ -16,6 +21,18 @@ def recoverable(needle: Column, haystack: Column) -> Column:
     return F.coalesce((needle != "") & F.contains(haystack, needle) & F.rlike(haystack, quoted), F.lit(False))
 
 
+def each_recoverable():
+    """An Arrow UDF (needles, haystack) -> recoverable of each: plain searches, where the expression compiles a pattern for every needle found."""
+    ship()
+
+    @F.arrow_udf("array<boolean>")
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for needles, texts in parts:
+            yield pa.array([[x is not None and t is not None and matching.recoverable(x, t) for x in n or ()] for n, t in zip(needles.to_pylist(), texts.to_pylist(), strict=True)], pa.list_(pa.bool_()))
+
+    return run.asNondeterministic()  # else filters on it are run by a pass of their own, below whatever stands beneath
+
+
 def checkable(span: Column) -> Column:
     """Very short mentions turn up by chance and aren't looked for."""
     return ~((span.entity_type == "USERNAME_MENTION") & (F.length(span.text) < MIN_MENTION))
@@ -37,8 +54,9 @@ def leaks(documents: DataFrame, spans: str = "spans", redacted: str = "redacted"
     keys (doc_id, or doc_id and page) only name the rows: spans and text of one scope are in one row, so
     nothing is joined or shuffled.
     """
-    one = documents.select(*keys, F.col(redacted).alias("_text"), F.explode(spans).alias("s"))
-    return one.where(checkable(F.col("s")) & _hides(F.col("s")) & recoverable(F.col("s.text"), F.col("_text"))).select(*keys, "s.text", "s.entity_type", "s.start", "s.end")
+    sought = documents.select(*keys, F.col(redacted).alias("_text"), F.filter(spans, lambda s: checkable(s) & _hides(s)).alias("_s"))
+    one = sought.select(*keys, "_s", each_recoverable()(F.col("_s.text"), F.col("_text")).alias("_there"))
+    return one.select(*keys, F.explode(F.arrays_zip("_s", "_there")).alias("x")).where("x._there").select(*keys, "x._s.text", "x._s.entity_type", "x._s.start", "x._s.end")
 
 
 def leaks_across(spans: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
